@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, decontaminate, licenses, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": warc.query,
+        "op6_license_scan": licenses.query,
         "op7_token_counts": token_counts.query,
+        "op9_decontaminate": decontaminate.query,
         "op10_bpe": bpe.query,
     }
 
