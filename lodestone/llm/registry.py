@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, token_counts, warc
+from . import bpe, decontaminate, licenses, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_warc": warc.query,
         "op6_license_scan": licenses.query,
         "op7_token_counts": token_counts.query,
+        "op8_quality_rules": quality.query,
         "op9_decontaminate": decontaminate.query,
         "op10_bpe": bpe.query,
     }
