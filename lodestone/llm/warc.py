@@ -117,10 +117,10 @@ def write(pages: DataFrame, path: str, record_id: str = "page_id", uri: str = "u
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), length.cast("string"), F.lit(CRLF * 2),
     )
     narrow.join(owners, "sha256").select("record_id", header.alias("warc_header"), http.alias("http_header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
-    stored = base.select("record_id", F.sha2("payload", 256).alias("sha256"), "payload")
-    kept = owners.select(F.col("sha256").alias("own"), F.col("owner"))
-    match = (F.col("sha256") == F.col("own")) & F.col("record_id").eqNullSafe(F.col("owner"))
-    stored.join(kept, match, "left_semi").groupBy("sha256", "record_id").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    none = F.lit(-(1 << 63))  # the join and the aggregate share one exchange only if both have plain keys
+    stored = base.select(F.sha2("payload", 256).alias("sha256"), F.coalesce("record_id", none).alias("slot"), "payload")
+    kept = owners.select("sha256", F.coalesce("owner", none).alias("slot"))
+    stored.join(kept, ["sha256", "slot"], "left_semi").groupBy("sha256", "slot").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(spark, path)
 
 
