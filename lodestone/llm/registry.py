@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, quality, token_counts, warc
+from . import bpe, decontaminate, licenses, pii, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": warc.query,
+        "op2_pii": pii.query,
         "op6_license_scan": licenses.query,
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality.query,
