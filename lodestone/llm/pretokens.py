@@ -39,7 +39,7 @@ class Generations(dict):
         found = self.old.pop(key, None)
         if found is None:
             found = self.make(key)
-        if len(key) <= 64:
+        if not isinstance(key, str) or len(key) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()

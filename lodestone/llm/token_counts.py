@@ -42,10 +42,14 @@ class PrefixCounter:
             spec = json.load(f)
         letters = _byte_letters()
         self.ids = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
-        self.bytes = {i: t for t, i in self.ids.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         vocab = spec["model"]["vocab"]
-        self.merges = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.merges = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for r, (a, b) in enumerate(pairs):
+            self.made.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
+        self.endless = len(pairs)
+        self.left_spines, self.right_spines = Generations(lambda t: self._spine(t, 0)), Generations(lambda t: self._spine(t, 1))
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         for s in special:  # names like <|end|> hold only printable ASCII, so they also stand in the vocabulary
             self.ids.pop(s.encode(), None)
@@ -55,21 +59,39 @@ class PrefixCounter:
         self.beside: dict[tuple[int, int], bool] = {}
         self.prefixes = Generations(self._prefixes)
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Plain merging, lowest rank first, of the few tokens that a check needs."""
-        while len(ids) > 1:
-            rank, at = min((self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges) if any(p in self.merges for p in zip(ids, ids[1:], strict=False)) else (None, 0)
-            if rank is None:
-                break
-            ids = [*ids[:at], self.merges[ids[at], ids[at + 1]][1], *ids[at + 2 :]]
-        return ids
+    def _spine(self, token: int, side: int) -> tuple[list[int], list[int]]:
+        """Tokens along the first or last bytes of a token, smallest first, and the ranks at which each is absorbed by the next."""
+        nodes, ranks = [token], [self.endless]
+        while (made := self.made.get(nodes[-1])) is not None:
+            nodes.append(made[1 + side])
+            ranks.append(made[0])
+        return nodes[::-1], ranks[::-1]
 
     def side_by_side(self, a: int, b: int) -> bool:
+        """Whether two tokens encode to themselves side by side: no merge across their border comes first.
+
+        The tokens at the border grow along the right edge of one and the left edge of the other. A merge of
+        the two comes before the left one grows if its rank is lower, and before the right one does if it is not higher.
+        """
         known = self.beside.get((a, b))
         if known is None:
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > 500_000:
                 self.beside.clear()
-            known = self.beside[a, b] = self.merge([self.ids[bytes([x])] for x in self.bytes[a] + self.bytes[b]]) == [a, b]
+            (left, grow), (right, widen) = self.right_spines[a], self.left_spines[b]
+            i = j = 0
+            known = True
+            while True:
+                across = self.merges.get((left[i], right[j]))
+                if across is not None and across < grow[i] and across <= widen[j]:
+                    known = False
+                    break
+                if grow[i] == widen[j] == self.endless:
+                    break
+                if grow[i] <= widen[j]:
+                    i += 1
+                else:
+                    j += 1
+            self.beside[a, b] = known
         return known
 
     def _prefixes(self, piece: str) -> list[int]:
@@ -101,15 +123,28 @@ class PrefixCounter:
         return sum([known[p][-1] for p in self.split(text)])
 
     def index(self, text: str) -> PrefixIndex:
-        return PrefixIndex(self, text)
+        return PrefixIndex(self, text, self.parts(text))
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and the characters that fit a budget."""
+        if self.special and self.special.search(text):
+            index = self.index(text)
+            return index.tokens[-1], index.fitting(budget)
+        known = self.prefixes
+        parts = self.split(text)
+        counts = [known[p][-1] for p in parts]
+        n = sum(counts)
+        if n <= budget:
+            return n, len(text)
+        k = bisect_right([*accumulate(counts)], budget) + 2  # the part in which the budget is passed, and the one after
+        return n, PrefixIndex(self, text, [(p, False) for p in parts[:k]]).fitting(budget)
 
 
 class PrefixIndex:
     """Answers of one text: token counts of its prefixes, and the prefix that fits a budget."""
 
-    def __init__(self, counter: PrefixCounter, text: str) -> None:
-        self.counter, self.text = counter, text
-        self.parts = counter.parts(text)
+    def __init__(self, counter: PrefixCounter, text: str, parts: list[tuple[str, bool]]) -> None:
+        self.counter, self.text, self.parts = counter, text, parts
         self.chars = [0, *accumulate(len(p) for p, _ in self.parts)]
         self.tokens = [0, *accumulate(1 if s else counter.prefixes[p][-1] for p, s in self.parts)]
 
@@ -153,8 +188,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int) -> DataFr
         for b in batches:
             out: list[tuple[int, int, bool, int]] = []
             for text in (t or "" for t in b.column("text").to_pylist()):
-                n = own.count(text)
-                out.append((len(text.encode("utf-8", "surrogatepass")), n, n > limit, own.index(text).fitting(limit) if n > limit else len(text)))
+                n, fit = own.measure(text, limit)
+                out.append((len(text.encode("utf-8", "surrogatepass")), n, n > limit, fit))
             size, n, over, fit = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(over, pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
