@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, pii, quality, set_join, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, licenses, pii, quality, set_join, substring_dedup, suffix_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_warc": warc.query,
         "op2_pii": pii.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_set_join": set_join.query,
         "op5_window_dedup": substring_dedup.query,
         "op6_license_scan": licenses.query,
