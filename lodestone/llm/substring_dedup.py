@@ -91,7 +91,10 @@ class Plan:
             if p.round in LONG:
                 keep = p.end - p.start >= window
                 long.append((p.name[keep] ^ SALTS[40], p.start[keep], p.end[keep], p.doc[keep]))
-        self.long = [np.concatenate(x) for x in zip(*long, strict=True)] if long else [np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))]
+        whole = np.flatnonzero(w.counts >= window)  # what further rounds would end in: one symbol for each text
+        a, b = w.first[whole], w.first[whole + 1]
+        long.append((span(self.prefix, a, b) ^ SALTS[41], a, b, whole))
+        self.long = [np.concatenate(x) for x in zip(*long, strict=True)]
 
     def _anchors(self, p: Parse, prefix: np.ndarray) -> None:
         w, n = self.words, len(self.words.hash)
@@ -206,7 +209,11 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str | None], in
         at += len(part)
 
 
-PASS_TWO = "tag int, bucket int, data binary, doc_id long, text string, n_words long, digest string"
+def kept_digest(words: list[bytes], gone: np.ndarray) -> str:
+    return hashlib.sha256(b" ".join(compress(words, (~gone).tolist()))).hexdigest()
+
+
+PASS_TWO = "tag int, bucket int, data binary, doc_id long, text binary, n_words long, n_removed long, digest string"
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -241,7 +248,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for k in mine:
                     if not names[k]:
                         words = (texts[k - at] or "").encode("utf-8", "surrogatepass").translate(SPACED).split()
-                        out.append((0, None, None, ids[k - at], None, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+                        out.append((0, None, None, ids[k - at], None, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
                 if not hit:
                     continue
                 plan = Plan([texts[k - at] for k in hit], window)
@@ -258,33 +265,38 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 doc = np.searchsorted(plan.words.first, left, "right") - 1
                 numbers = np.array([ids[k - at] for k in hit], np.int64)
                 where, blobs = packed(span(plan.prefix, left, left + window), numbers[doc], left - plan.words.first[doc], n)
-                out += [(1, w, x, None, None, None, None) for w, x in zip(where, blobs, strict=True)]
+                out += [(1, w, x, None, None, None, None, None) for w, x in zip(where, blobs, strict=True)]
+                open_ones = np.bincount(doc, minlength=len(hit))
                 for d, k in enumerate(hit):
                     flags = settled[plan.words.first[d] : plan.words.first[d + 1]]
-                    edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
-                    ranges = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype(np.int32)
-                    out.append((2, None, ranges.tobytes(), ids[k - at], texts[k - at], int(plan.words.counts[d]), None))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            cols = zip(*out, strict=True) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "doc_id", "text", "n_words", "digest"])
+                    words = (texts[k - at] or "").encode("utf-8", "surrogatepass").translate(SPACED)
+                    if open_ones[d]:
+                        edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
+                        ranges = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype(np.int32)
+                        out.append((2, None, ranges.tobytes(), ids[k - at], zstandard.compress(words, 3), len(flags), None, None))
+                    else:
+                        out.append((0, None, None, ids[k - at], None, len(flags), int(flags.sum()), kept_digest(words.split(), flags)))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+            cols = zip(*out, strict=True) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "doc_id", "text", "n_words", "n_removed", "digest"])
 
     path = shared_path(spark, "windows")
     told_docs = docs.join(told, "doc_id", "left").select("doc_id", "text", "names", "earlier")
     told_docs.mapInArrow(settle, PASS_TWO).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     part = spark.read.schema(PASS_TWO).parquet(path)
-    plain = part.filter("tag = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
+    plain = part.filter("tag = 0").select("doc_id", "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
     found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(earlier_windows, "doc_id long, c0 binary").groupBy("doc_id").agg(F.collect_list("c0").alias("at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, digests = [], []
             for text, ranges, at in zip(b.column("text").to_pylist(), b.column("data").to_pylist(), b.column("at").to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").translate(SPACED).split()
+                words = zstandard.decompress(text).split()
                 starts, ends = np.frombuffer(ranges, np.int32).reshape(2, -1).astype(np.int64)
                 one = np.frombuffer(b"".join(at or []), np.int32).astype(np.int64)
                 gone = cover(len(words), np.concatenate([starts, one]), np.concatenate([ends, one + window]))
                 removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(b" ".join(compress(words, (~gone).tolist()))).hexdigest())
+                digests.append(kept_digest(words, gone))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rest = part.filter("tag = 2").select("doc_id", "text", "n_words", "data").join(found, "doc_id", "left")
