@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(c: Column | str) -> Column:
@@ -43,7 +44,7 @@ def alphanumeric(c: Column | str, keep: str = "") -> Column:
     return F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"[^A-Za-z0-9{extra}]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     """Decomposed, without marks and punctuation, case-folded and squeezed. Spark has no decomposition, hence Arrow batches."""
 
