@@ -101,6 +101,10 @@ def naics_sector(c: Column | str) -> Column:
     return F.struct(p.alias("sector"), _lookup(NAICS, p, "Unknown Sector").alias("title"))
 
 
+def _renamed(changes: Column):
+    return lambda x: F.coalesce(F.try_element_at(changes, x), F.array(x))
+
+
 def crosswalk_naics(c: Column | str, start: int = 2017, end: int = 2022) -> Column:
     """The codes of a later revision; a code without a change stays."""
     steps = {(2012, 2022): [(2012, 2017), (2017, 2022)]}.get((start, end), [(start, end)])
@@ -109,7 +113,7 @@ def crosswalk_naics(c: Column | str, start: int = 2017, end: int = 2022) -> Colu
     out = F.array(F.trim(_c(c)))
     for s in steps:
         m = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, v))) for k, v in NAICS_CHANGES[s].items()))
-        out = F.flatten(F.transform(out, lambda x, m=m: F.coalesce(F.try_element_at(m, x), F.array(x))))
+        out = F.flatten(F.transform(out, _renamed(m)))
     return out
 
 

@@ -1,4 +1,7 @@
-"""Windowed counts and latest states, the same for a stream and for a batch."""
+"""Windowed counts and latest states, the same for a stream and for a batch.
+
+A stream's time column is a timestamp with zone, as watermarks need; a batch's may be either kind.
+"""
 
 from __future__ import annotations
 
