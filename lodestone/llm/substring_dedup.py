@@ -124,8 +124,8 @@ class Plan:
         """Names to look up, and the text of each."""
         return np.concatenate([self.named[self.used], self.long[0]]), np.concatenate([self.anchor_doc[self.used], self.long[3]])
 
-    def windows(self, shared: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flags of words in settled windows, and the windows left to look up; the flags are of names()."""
+    def windows(self, shared: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flags of words in settled windows, the windows left to look up, and their anchors; the flags are of names()."""
         n, a = len(self.words.hash), len(self.used)
         long = earlier[a:]
         settled = cover(n, self.long[1][long], self.long[2][long])
@@ -135,44 +135,40 @@ class Plan:
         np.maximum.at(reach, self.long[1][long], self.long[2][long])
         reach = np.maximum.accumulate(reach)
         left = known[self.anchor] & (reach[self.at] < self.at + self.window)
-        return settled, self.at[left]
+        return settled, self.at[left], self.named[self.anchor[left]]
 
 
-def pack(names: np.ndarray, docs: np.ndarray, at: np.ndarray | None = None) -> bytes:
-    """Names as they are; documents, and positions, as differences, compressed."""
-    head = np.array([len(names)], np.int64).tobytes()
-    rest = np.diff(docs, prepend=0).astype(np.int64).tobytes() + (at.astype(np.int32).tobytes() if at is not None else b"")
-    return head + names.tobytes() + zstandard.compress(rest, 1)
+def pack(names: np.ndarray, docs: np.ndarray) -> bytes:
+    """Names as they are; documents as differences, compressed."""
+    return np.array([len(names)], np.int64).tobytes() + names.tobytes() + zstandard.compress(np.diff(docs, prepend=0).tobytes(), 1)
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    rest = zstandard.decompress(raw[8 + 8 * n :])
-    return np.frombuffer(raw, U, n, 8), np.cumsum(np.frombuffer(rest, np.int64, n)), np.frombuffer(rest, np.int32, -1, 8 * n)
+    return np.frombuffer(raw, U, n, 8), np.cumsum(np.frombuffer(zstandard.decompress(raw[8 + 8 * n :]), np.int64, n))
 
 
 BLOB = "bucket int, data binary"
 
 
-def packed(names: np.ndarray, docs: np.ndarray, at: np.ndarray | None, n: int) -> tuple[list[int], list[bytes]]:
-    """Bucket numbers and blobs, each in order of documents."""
+def packed(names: np.ndarray, docs: np.ndarray, n: int, deal: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
+    """Bucket numbers and blobs, each in order of documents; names are dealt by ``deal`` if given, which equal names share."""
     where, blobs = [], []
-    for b, of in by_bucket(names, n):
+    for b, of in by_bucket(names if deal is None else deal, n):
         of = of[np.argsort(docs[of], kind="stable")]
         where.append(b)
-        blobs.append(pack(names[of], docs[of], None if at is None else at[of]))
+        blobs.append(pack(names[of], docs[of]))
     return where, blobs
 
 
-def gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, documents, positions of a bucket by name, and for each entry the least and the greatest document of its name."""
-    names, docs, at = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+def gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names and documents of a bucket by name, and for each entry the least and the greatest document of its name."""
+    names, docs = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
     order = np.argsort(names)
     names, docs = names[order], docs[order]
-    at = at[order] if len(at) == len(order) else at
     head = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
     n = np.diff(np.append(head, len(names)))
-    return names, docs, at, np.repeat(np.minimum.reduceat(docs, head), n), np.repeat(np.maximum.reduceat(docs, head), n)
+    return names, docs, np.repeat(np.minimum.reduceat(docs, head), n), np.repeat(np.maximum.reduceat(docs, head), n)
 
 
 def by_doc(docs: np.ndarray, *cols: np.ndarray) -> pa.Table:
@@ -190,16 +186,16 @@ def by_doc(docs: np.ndarray, *cols: np.ndarray) -> pa.Table:
 
 def shared_names(table: pa.Table) -> pa.Table:
     """Per document the names of this bucket that other documents have too, and whether an earlier one has."""
-    names, docs, _, low, high = gathered(table.column("data").to_pylist())
+    names, docs, low, high = gathered(table.column("data").to_pylist())
     keep = low < high
     return by_doc(docs[keep], names[keep], (docs > low)[keep].astype(np.uint8))
 
 
 def earlier_windows(table: pa.Table) -> pa.Table:
-    """Per document the positions of windows that an earlier document has."""
-    _, docs, at, low, _ = gathered(table.column("data").to_pylist())
+    """Per document the windows that an earlier document has."""
+    names, docs, low, _ = gathered(table.column("data").to_pylist())
     keep = docs > low
-    return by_doc(docs[keep], at[keep])
+    return by_doc(docs[keep], names[keep])
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str | None], int]]:
@@ -232,7 +228,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names, of = plan.names()
                 held.append((names, np.array([i for i, _ in some], np.int64)[of]))
             if held:
-                where, blobs = packed(*(np.concatenate(x) for x in zip(*held, strict=True)), None, n)
+                where, blobs = packed(*(np.concatenate(x) for x in zip(*held, strict=True)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     shared = docs.mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(shared_names, "doc_id long, c0 binary, c1 binary")
@@ -261,10 +257,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 known, before = known[order], before[order]
                 j = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 found = known[j] == keys
-                settled, left = plan.windows(found, found & before[j])
+                settled, left, anchors = plan.windows(found, found & before[j])
                 doc = np.searchsorted(plan.words.first, left, "right") - 1
                 numbers = np.array([ids[k - at] for k in hit], np.int64)
-                where, blobs = packed(span(plan.prefix, left, left + window), numbers[doc], left - plan.words.first[doc], n)
+                asked = span(plan.prefix, left, left + window)
+                once = np.unique(mix(asked + mix(doc.astype(U) + U(1))), return_index=True)[1]  # a text that repeats itself asks once
+                where, blobs = packed(asked[once], numbers[doc[once]], n, anchors[once])
                 out += [(1, w, x, None, None, None, None, None) for w, x in zip(where, blobs, strict=True)]
                 open_ones = np.bincount(doc, minlength=len(hit))
                 for d, k in enumerate(hit):
@@ -285,22 +283,29 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     told_docs.mapInArrow(settle, PASS_TWO).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     part = spark.read.schema(PASS_TWO).parquet(path)
     plain = part.filter("tag = 0").select("doc_id", "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(earlier_windows, "doc_id long, c0 binary").groupBy("doc_id").agg(F.collect_list("c0").alias("at"))
+    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(earlier_windows, "doc_id long, c0 binary").groupBy("doc_id").agg(F.collect_list("c0").alias("names"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, digests = [], []
-            for text, ranges, at in zip(b.column("text").to_pylist(), b.column("data").to_pylist(), b.column("at").to_pylist(), strict=True):
-                words = zstandard.decompress(text).split()
-                starts, ends = np.frombuffer(ranges, np.int32).reshape(2, -1).astype(np.int64)
-                one = np.frombuffer(b"".join(at or []), np.int32).astype(np.int64)
-                gone = cover(len(words), np.concatenate([starts, one]), np.concatenate([ends, one + window]))
-                removed.append(int(gone.sum()))
-                digests.append(kept_digest(words, gone))
+            raw, at = [zstandard.decompress(x) for x in b.column("text").to_pylist()], 0
+            ranges, known, removed, digests = b.column("data").to_pylist(), b.column("names").to_pylist(), [], []
+            for _, some in pieces(raw, raw):
+                w = Words(some, SPACED)
+                start = runs(w.first, w.counts, window)
+                name = span(rolling(w.hash), start, start + window)
+                edge = np.searchsorted(start, w.first)
+                for d, text in enumerate(some):
+                    starts, ends = np.frombuffer(ranges[at], np.int32).reshape(2, -1).astype(np.int64)
+                    mine = slice(edge[d], edge[d + 1])
+                    one = start[mine][np.isin(name[mine], np.frombuffer(b"".join(known[at] or []), U))] - w.first[d]
+                    gone = cover(int(w.counts[d]), np.concatenate([starts, one]), np.concatenate([ends, one + window]))
+                    removed.append(int(gone.sum()))
+                    digests.append(kept_digest(text.split(), gone))
+                    at += 1
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rest = part.filter("tag = 2").select("doc_id", "text", "n_words", "data").join(found, "doc_id", "left")
-    return plain.unionByName(rest.select("doc_id", "text", "n_words", "data", "at").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return plain.unionByName(rest.select("doc_id", "text", "n_words", "data", "names").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

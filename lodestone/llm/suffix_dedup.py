@@ -168,7 +168,7 @@ class Anchors:
 
 def repeated_names(t: pa.Table) -> pa.Table:
     """Per row key the names of this bucket that stand more than once, and whether a smaller key has them."""
-    names, docs, _, low, _ = gathered(t.column("data").to_pylist())
+    names, docs, low, _ = gathered(t.column("data").to_pylist())
     head = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
     n = np.diff(np.append(head, len(names)))
     keep = np.repeat(n, n) > 1
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                 names += [a.name, a.around[a.whole]]
                 owners += [k[a.doc], k[a.doc[a.whole]]]
             if names:
-                where, blobs = packed(np.concatenate(names), np.concatenate(owners), None, n)
+                where, blobs = packed(np.concatenate(names), np.concatenate(owners), n)
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     repeated = docs.select("key", "text").mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(repeated_names, "doc_id long, c0 binary, c1 binary")

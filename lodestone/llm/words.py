@@ -90,8 +90,8 @@ ALNUM_LOWER = _table(b"", True)
 class Words:
     """The words of a batch of texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, texts: list[str | None], table: bytes, hashes: bool = True) -> None:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], table: bytes, hashes: bool = True) -> None:
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         joined = b" ".join([*raw, b""]) or b" "
         self.buffer = joined.translate(table)
         a = np.frombuffer(self.buffer, np.uint8)
@@ -141,7 +141,7 @@ def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d)[:n] > 0
 
 
-def pieces(ids: list, texts: list[str | None], most: int = CHUNK_BYTES):
+def pieces(ids: list, texts: list[str | bytes | None], most: int = CHUNK_BYTES):
     """Slices of a batch that hold about ``most`` bytes each; one text is never parted."""
     at, size = 0, 0
     for i, t in enumerate(texts):
