@@ -274,3 +274,99 @@ def buffer_point(wkt: pd.Series, radius: pd.Series) -> pd.Series:
         return "POLYGON ((" + ", ".join(f"{a!r} {b!r}" for a, b in [*ps, ps[0]]) + "))"
 
     return pd.Series([one(w, r) for w, r in zip(wkt, radius, strict=True)], dtype="object")
+
+
+def union_rings(shapes: list[list[Ring]]) -> list[Ring]:
+    """Rings around the union of polygons: of all edges, cut where they meet, those with the union on one side only.
+
+    Outer rings turn left, holes right.
+    """
+    edges = [e for s in shapes for e in _edges(s)]
+    boxes = [(min(p[0] for r in s for p in r), min(p[1] for r in s for p in r), max(p[0] for r in s for p in r), max(p[1] for r in s for p in r)) if any(s) else None for s in shapes]
+
+    def inside(x: float, y: float) -> bool:
+        for s, b in zip(shapes, boxes, strict=True):
+            if b and b[0] <= x <= b[2] and b[1] <= y <= b[3]:
+                hits = sum((y0 > y) != (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) for x0, y0, x1, y1 in _edges(s))
+                if hits % 2:
+                    return True
+        return False
+
+    kept: dict[tuple, tuple] = {}
+    for x0, y0, x1, y1 in edges:
+        cuts = {0.0, 1.0}
+        n2 = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        for u0, v0, u1, v1 in edges:
+            d = (x1 - x0) * (v1 - v0) - (y1 - y0) * (u1 - u0)
+            if d:
+                t = ((u0 - x0) * (v1 - v0) - (v0 - y0) * (u1 - u0)) / d
+                s = ((u0 - x0) * (y1 - y0) - (v0 - y0) * (x1 - x0)) / d
+                if -1e-12 <= s <= 1 + 1e-12 and 0 < t < 1:
+                    cuts.add(t)
+            elif (u0 - x0) * (y1 - y0) == (v0 - y0) * (x1 - x0):
+                cuts |= {t for t in (((u - x0) * (x1 - x0) + (v - y0) * (y1 - y0)) / n2 for u, v in ((u0, v0), (u1, v1))) if 0 < t < 1}
+        ts = sorted(cuts)
+        length = math.sqrt(n2)
+        for a, b in zip(ts, ts[1:], strict=False):
+            if (b - a) * length < 1e-12:
+                continue
+            p, q = ((round(x0 + t * (x1 - x0), 9), round(y0 + t * (y1 - y0), 9)) for t in (a, b))
+            m, e = (a + b) / 2, 1e-7 * max(1.0, length)
+            mx, my, nx, ny = x0 + m * (x1 - x0), y0 + m * (y1 - y0), -(y1 - y0) / length * e, (x1 - x0) / length * e
+            left, right = inside(mx + nx, my + ny), inside(mx - nx, my - ny)
+            if left != right:
+                kept[(p, q) if left else (q, p)] = ()
+    following: dict[tuple, list[tuple]] = {}
+    for p, q in kept:
+        following.setdefault(p, []).append(q)
+    out: list[Ring] = []
+    for p in list(following):
+        while following.get(p):
+            ring = [p]
+            while following.get(ring[-1]):
+                ring.append(following[ring[-1]].pop())
+                if ring[-1] == p:
+                    break
+            if len(ring) > 3 and ring[-1] == p:
+                out.append(ring)
+    return out
+
+
+def write_wkt(rs: list[Ring]) -> str:
+    """POLYGON or MULTIPOLYGON of oriented rings; a hole goes to the smallest outer ring around it."""
+    signed = lambda r: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:], strict=False)) / 2
+    outer = sorted((r for r in rs if signed(r) > 0), key=shoelace)
+    holes: dict[int, list[Ring]] = {}
+    for h in (r for r in rs if signed(r) < 0):
+        x, y = (h[0][0] + h[1][0]) / 2, (h[0][1] + h[1][1]) / 2
+        for k, o in enumerate(outer):
+            if sum((b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b) for a, b, c, d in _edges([o])) % 2:
+                holes.setdefault(k, []).append(h)
+                break
+    text = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")"
+    parts = ["(" + ", ".join(map(text, [o, *holes.get(k, [])])) + ")" for k, o in enumerate(outer)]
+    return "POLYGON EMPTY" if not parts else f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})"
+
+
+def distance_to(ring_list: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to rings: 0 inside, else to the nearest edge."""
+
+    def edge(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy))), F.lit(0.0))
+        return F.hypot(x - p["x"] - t * dx, y - p["y"] - t * dy)
+
+    def nearest(r: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(float("inf")), lambda s, i: F.least(s, F.coalesce(edge(F.get(r, i - 1), F.get(r, i)), F.lit(float("inf")))))
+
+    return F.when(covers(ring_list, x, y), 0.0).otherwise(F.aggregate(ring_list, F.lit(float("inf")), lambda s, r: F.least(s, nearest(r))))
+
+
+def payload(wkt: Column | str, crs: str = "EPSG:4326") -> Column:
+    """Struct wkt, geojson, crs and type of a point or polygon."""
+    kind = F.upper(F.regexp_extract(_c(wkt), r"^\s*([A-Za-z]+)", 1))
+    p = xy(wkt)
+    rings_ = F.transform(rings(wkt), lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"])))
+    many = F.transform(polygons(wkt), lambda s: F.transform(s, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
+    body = F.when(kind == "POINT", F.to_json(F.struct(F.lit("Point").alias("type"), F.array(p["x"], p["y"]).alias("coordinates")))).when(kind == "MULTIPOLYGON", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), many.alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("Polygon").alias("type"), rings_.alias("coordinates"))))
+    return F.when(_c(wkt).isNotNull(), F.struct(_c(wkt).alias("wkt"), body.alias("geojson"), F.lit(crs).alias("crs"), kind.alias("type")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..compat import safe_sum
 from ..functions import codes, geoid, geometry, grid, json, moe, text
-from ..operators import crosstab, crosswalk, longitudinal, relational, spatial, survey
+from ..operators import crosstab, crosswalk, longitudinal, relational, spatial, survey, territory
 from ..sources import io
 from ..streaming import windows
 
@@ -89,8 +89,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 TREND = "CASE WHEN pct IS NULL THEN 'unknown' WHEN pct >= 20 THEN 'rapid_growth' WHEN pct >= 5 THEN 'moderate_growth' WHEN pct >= -5 THEN 'stable' WHEN pct >= -20 THEN 'moderate_decline' ELSE 'rapid_decline' END"
-query("flagship_trends", f"SELECT nation, round(change, 2) AS change, round(pct, 6) AS pct, round(cagr, 6) AS cagr, {TREND} AS trend FROM ({CHANGE})")(
-    lambda s, d: flagship(s, d).select("nation", F.round("change", 2).alias("change"), F.round("pct", 6).alias("pct"), F.round("cagr", 6).alias("cagr"), "trend")
+query("flagship_trends", f"SELECT nation, round(change, 4) AS change, round(pct, 6) AS pct, round(cagr, 6) AS cagr, {TREND} AS trend FROM ({CHANGE})")(
+    lambda s, d: flagship(s, d).select("nation", F.round("change", 4).alias("change"), F.round("pct", 6).alias("pct"), F.round("cagr", 6).alias("cagr"), "trend")
 )
 
 # Relational
@@ -422,10 +422,10 @@ def _(s, d):
     return rounded(longitudinal.change_summary(wide_revenue(s, d), "rev", 1996, 2000).select("pct_change_mean", "pct_change_median", "pct_change_std", "increased", "decreased", "n"))
 
 
-@query("multi_period", f"SELECT nation, round(rev_1998 - rev_1996, 2) AS a, round((rev_2000 - rev_1998) * 100 / rev_1998, 6) AS b FROM ({WIDE})")
+@query("multi_period", f"SELECT nation, round(rev_1998 - rev_1996, 4) AS a, round((rev_2000 - rev_1998) * 100 / rev_1998, 6) AS b FROM ({WIDE})")
 def _(s, d):
     m = longitudinal.multi_period(wide_revenue(s, d), "rev")
-    return m.select("nation", F.round("rev_change_1996_1998", 2).alias("a"), F.round("rev_pct_change_1998_2000", 6).alias("b"))
+    return m.select("nation", F.round("rev_change_1996_1998", 4).alias("a"), F.round("rev_pct_change_1998_2000", 6).alias("b"))
 
 
 @query("changes_long", f"SELECT nation, year, prev_year, round((value - p) * 100 / p, 6) AS pct_change FROM (SELECT *, lag(year) OVER w AS prev_year, lag(value) OVER w AS p FROM ({REVENUE}) WINDOW w AS (PARTITION BY nation ORDER BY year)) WHERE p IS NOT NULL")
@@ -771,3 +771,77 @@ def _(s, d):
 @query("sum_of_all", "SELECT round(coalesce(sum(l_extendedprice), 0), 2) AS total FROM lineitem")
 def _(s, d):
     return t(s, d, "lineitem").agg(F.round(safe_sum("l_extendedprice"), 2).alias("total"))
+
+
+# Territories
+
+
+@query("dissolve", "SELECT n_regionkey, CAST(count(*) * 100 AS DOUBLE) AS area, CAST(sum(n_nationkey) AS DOUBLE) AS keys FROM nation GROUP BY 1")
+def _(s, d):
+    own = districts(s, d).join(t(s, d, "nation").select("n_name", "n_regionkey", F.col("n_nationkey").cast("double").alias("keys")), "n_name")
+    return rounded(territory.dissolve(own, "n_regionkey", "shape", ["keys"]).select("n_regionkey", geometry.area("shape").alias("area"), "keys"))
+
+
+@query("locales", f"""SELECT c_custkey, CASE WHEN x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20 THEN CASE WHEN x <= 14 AND y <= 14 THEN 12 ELSE 21 END WHEN x BETWEEN 30 AND 40 AND y BETWEEN 30 AND 40 THEN CASE WHEN d <= 10 THEN 31 WHEN d <= 35 THEN 32 ELSE 33 END
+    WHEN d <= 5 OR c <= 2.5 THEN 41 WHEN d <= 25 OR c <= 10 THEN 42 ELSE 43 END AS locale_code FROM (SELECT *, sqrt(pow(greatest(10 - x, x - 20, 0), 2) + pow(greatest(10 - y, y - 20, 0), 2)) AS d, sqrt(pow(greatest(30 - x, x - 40, 0), 2) + pow(greatest(30 - y, y - 40, 0), 2)) AS c FROM ({PLACES}))""")
+def _(s, d):
+    m = territory.MILE
+    p = places(s, d).select("c_custkey", (F.col("x") * m).alias("x"), (F.col("y") * m).alias("y"))
+
+    def layer(x0, y0, x1, y1, n):
+        return s.range(1).select(geometry.box(F.lit(x0 * m), F.lit(y0 * m), F.lit(x1 * m), F.lit(y1 * m)).alias("geometry"), F.lit(n).alias("population"))
+
+    return territory.locale(p, layer(10, 10, 20, 20, 300_000), layer(30, 30, 40, 40, 9_000), layer(10, 10, 14, 14, 120_000), "x", "y").select("c_custkey", "locale_code")
+
+
+@query("locale_shares", "SELECT n_name, 21 AS locale_code, 0.5::DOUBLE AS share FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_name, 43, CASE n_nationkey WHEN 0 THEN 0.5 ELSE 1 END::DOUBLE FROM nation WHERE n_nationkey <> 6 UNION ALL SELECT n_name, 31, 1.0 FROM nation WHERE n_nationkey = 6")
+def _(s, d):
+    box = lambda *c: s.range(1).select(geometry.box(*map(F.lit, map(float, c))).alias("geometry"))
+    return rounded(territory.locale_shares(districts(s, d).withColumnRenamed("shape", "geometry"), box(0, 0, 5, 10), box(10, 10, 20, 20), "n_name", size=10.0))
+
+
+@query("in_relation", f"SELECT c_custkey FROM ({PLACES}) WHERE x > 20 AND y > 30")
+def _(s, d):
+    return territory.in_relation(places(s, d), "x", "y", (20.0, 30.0), "northeast of", "halfplane").select("c_custkey")
+
+
+@query("plan_at", f"SELECT o_custkey, max(valid_from) AS valid_from FROM ({INTERVALS}) WHERE valid_from <= DATE '1999-06-15' AND (valid_to IS NULL OR valid_to >= DATE '1999-06-15') GROUP BY 1")
+def _(s, d):
+    return territory.plan_at(intervals(s, d), ["o_custkey"], "1999-06-15", "valid_from", "valid_to").select("o_custkey", "valid_from")
+
+
+@query("link_parents", f"SELECT geoid, CASE WHEN CAST(substr(geoid, 1, 2) AS INTEGER) % 2 = 0 THEN substr(geoid, 1, 2) END AS parent_geoid FROM ({CODES})")
+def _(s, d):
+    p = t(s, d, "nation").filter("n_nationkey % 2 = 0").select(text.pad(F.col("n_nationkey"), 2).alias("g"), F.lit(2020).alias("vintage_year"))
+    return territory.link_parents(coded(s, d).select("geoid", F.lit(2020).alias("vintage_year")), p, "geoid", "g", 2).select("geoid", "parent_geoid")
+
+
+@query("demographics_join", "SELECT n_name, n_nationkey, CAST(count(c_custkey) AS BIGINT) AS people FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND n_nationkey < 20 GROUP BY ALL")
+def _(s, d):
+    n = t(s, d, "nation").select("n_name", "n_nationkey", text.pad(F.col("n_nationkey"), 2).alias("GEOID"))
+    data = t(s, d, "customer").filter("c_nationkey < 20").groupBy(F.concat(F.lit("0400000US"), text.pad(F.col("c_nationkey"), 2)).alias("GEO_ID")).agg(F.count("*").alias("people"))
+    return territory.demographics(n, data, "GEOID", "GEO_ID").select("n_name", "n_nationkey", F.coalesce("people", F.lit(0)).alias("people"))
+
+
+@query("wide_years", f"SELECT nation, round(max(CASE WHEN year = 1997 THEN value END), 4) AS value_1997, round(max(CASE WHEN year = 1999 THEN value END), 4) AS value_1999 FROM ({REVENUE}) WHERE year IN (1997, 1999) GROUP BY 1")
+def _(s, d):
+    r = revenue(s, d)
+    return rounded(territory.wide_years({y: r.filter(F.col("year") == y) for y in (1997, 1999)}, "nation", ["value"], None), 4)
+
+
+@query("hexagons", f"SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM ({PLACES}))")
+def _(s, d):
+    return territory.hexagons(places(s, d), "x", "y", 2.0).agg(F.sum("n").alias("n"))
+
+
+@query("snapshot_maps", "SELECT l_orderkey, l_linenumber, l_quantity AS estimate, CASE WHEN l_tax > 0 THEN l_tax END AS margin FROM lineitem")
+def _(s, d):
+    l = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("B1_001E"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("B1_001M"))
+    m = l.select("l_orderkey", "l_linenumber", moe.snapshot(l, ["B1_001E"]).alias("v"), moe.snapshot(l, ["B1_001M"]).alias("m"))
+    return m.select("l_orderkey", "l_linenumber", F.try_element_at("v", F.lit("B1_001E")).alias("estimate"), moe.moe_of("m", F.lit("B1_001E")).alias("margin"))
+
+
+@query("fuzzy_match", "WITH w AS (SELECT p_partkey, p_name, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), c AS (SELECT * FROM (VALUES ('red widget'), ('small ring'), ('big gear')) AS v(title)), x AS (SELECT title, unnest(string_split(title, ' ')) AS w FROM c) SELECT p_partkey, title, round(count(*) / greatest(len(list_distinct(string_split(lower(any_value(p_name)), ' '))), 2), 3) AS score FROM w JOIN x USING (w) GROUP BY p_partkey, title")
+def _(s, d):
+    c = s.createDataFrame([("red widget",), ("small ring",), ("big gear",)], "title string")
+    return text.fuzzy_match(t(s, d, "part").select("p_partkey", "p_name"), "p_name", c, "title").select("p_partkey", "title", "score")
