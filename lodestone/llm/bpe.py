@@ -180,9 +180,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_with(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with ids, n_tokens and the digest of the decoded bytes in place of the text; one pass, no shuffle."""
+    """docs with ids, n_tokens and the digest of the decoded bytes in place of the text; one pass, no shuffle.
+
+    Columns that docs has under these names already are replaced.
+    """
     small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    made = ("token_ids", "n_tokens", "decoded_sha256")
+    kept = [f for f in docs.schema.fields if f.name not in ("text", *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
@@ -190,7 +194,7 @@ def encode_with(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [own.encode(t or "") for t in b.column("text").to_pylist()]
             digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
             rest = [b.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests, pa.string())], names=[*(f.name for f in kept), "token_ids", "n_tokens", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests, pa.string())], names=[*(f.name for f in kept), *made])
 
     schema = docs.select([F.col(f.name) for f in kept] + [F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("decoded_sha256")]).schema
     return docs.mapInArrow(run, schema)

@@ -119,16 +119,42 @@ def rows(ids: list[int], w: Words, hits: dict[int, list[tuple[int, int, int]]],
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """For each document the words that lie in any window of the benchmark, and the items they come from."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _items(benchmark: DataFrame, most: int):
+    """The benchmark's items, and these as a broadcast if their text is within ``most`` bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > broadcast_bytes:
-        return _joined(texts_of(docs), items, gram, window)
+    if size > most:
+        return items, None
     known = items.distinct().collect()
-    held = spark.sparkContext.broadcast(([r[0] for r in known], [r[1] for r in known]))
+    return items, benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in known], [r[1] for r in known]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, all columns, without a contaminated word; rows are judged one by one, whatever their ids."""
+    small_batches(docs.sparkSession)
+    _, held = _items(benchmark, broadcast_bytes)
+    if held is None:
+        bad = decontaminate(docs, benchmark, gram, window, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__contaminated")).distinct()
+        return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__contaminated"]), "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(*held.value, gram, window)
+        for b in batches:
+            at = 0
+            for ids, texts in pieces([None] * b.num_rows, b.column("text").to_pylist()):
+                hit = index.hits(Words(texts, ALNUM_LOWER))
+                yield b.slice(at, len(ids)).filter(pa.array([not hit.get(d) for d in range(len(ids))], pa.bool_()))
+                at += len(ids)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """For each document the words that lie in any window of the benchmark, and the items they come from."""
+    small_batches(docs.sparkSession)
+    items, held = _items(benchmark, broadcast_bytes)
+    if held is None:
+        return _joined(texts_of(docs), items, gram, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(*held.value, gram, window)
@@ -206,5 +232,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents without any contaminated word stay."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return clean(docs, table(spark, sf_dir, "benchmark"))

@@ -185,16 +185,16 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span, overlapping ones merged, replaced by its kind in angle brackets; n_chars follows the new text."""
-    found = extract(docs).filter("spans != ''").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash")).agg(F.max("spans").alias("spans"))
-    given = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("hash", F.xxhash64(F.col("text").cast("string")))
-    joined = given.join(found, ["id", "hash"], "left").select(*docs.columns, "spans")
+    found = extract(docs).filter("spans != ''").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("spans").alias("__spans"))
+    given = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))).withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
+    joined = given.join(found, ["__id", "__hash"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
     small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
                 if t and spans:
                     parts, at = [], 0
                     for k, s, e in ((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(","))):

@@ -136,7 +136,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, join) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Counts of each document, whether it fails the base rules, its robust distance, and whether it is kept."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("\x00")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("source"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _hash(docs).alias("row_hash"), F.coalesce(F.col("lang").cast("string"), F.lit("\x00")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("source"))
     counted = counts(given).drop("text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     features = stored(counted.select("*", failed.alias("base_failed"), *statistics(counted)), "quality")
@@ -161,7 +161,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
     final = estimate.join(middle, "key").join(total, "key").withColumn("scale", F.greatest(F.lit(1.0), F.exp((F.col("b") + 0.5) / 32) / MEDIAN))
     judged = join(join(features, keys, ["lang", "source"], "left"), final, "key", "left")
     far = F.when(F.col("n_key") >= LEAST, distance() / F.col("scale"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far > CUTOFF, F.lit(False))).alias("kept"), far.alias("distance"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far > CUTOFF, F.lit(False))).alias("kept"), far.alias("distance"), "row_hash")
+
+
+def _hash(docs: DataFrame) -> Column:
+    """What a verdict follows from, so that rows under one id, or none, are judged each for itself."""
+    return F.xxhash64(docs["text"], docs["lang"], docs["source"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +175,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that are kept."""
-    bad = verdicts(docs).filter("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = verdicts(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (_hash(docs) == bad["__hash"]), "left_anti")

@@ -11,7 +11,8 @@ sets too small or too large are skipped by position. Rare tokens come first in e
 A set's overlaps with all others are derived from those of the most similar set that is already answered: only the
 lists of the tokens in which the two differ are read. Sets that are one component already aren't compared.
 
-Clusters above ``block`` sets are dealt to pairs of blocks, so no task holds more than two blocks. Links come out as a
+A task joins its own sets that share a part before it deals parts out, so a part that very many sets have costs its bucket
+one entry a task. Clusters above ``block`` sets are dealt to pairs of blocks, so no task holds more than two blocks. Links come out as a
 spanning forest, never as all pairs. Null and wordless texts have empty sets and link with nothing.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .names import FLUSH
 from .shared import stored
 from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
 
@@ -101,17 +103,25 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return name[keep], sets[owner[keep]]
 
 
-def shared_parts(t: pa.Table) -> pa.Table:
-    """For each part hash of the bucket that several sets have, edges from each to the least of them."""
-    raw = [np.frombuffer(x, U).reshape(2, -1) for x in t.column("data").to_pylist()]
-    name, of = np.concatenate([x[0] for x in raw]), np.concatenate([x[1] for x in raw]).view(np.int64)
+def stars(name: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least set of each part hash, and edges from the other sets that have it to that one, once each."""
     order = np.lexsort((of, name))
     name, of = name[order], of[order]
     head = np.flatnonzero(np.diff(name, prepend=~name[:1]))
     low = np.repeat(of[head], np.diff(np.append(head, len(name))))
     keep = low != of
     pair = np.unique(np.stack([of[keep], low[keep]]), axis=1)
-    return pa.table({"a": pair[0], "b": pair[1]})
+    return name[head], of[head], pair[0], pair[1]
+
+
+def shared_parts(t: pa.Table) -> pa.Table:
+    """Edges of a bucket: those that tasks found among their own sets, and those between the least sets of tasks."""
+    raw = [(x[0], np.frombuffer(x, U, -1, 1).reshape(2, -1)) for x in t.column("data").to_pylist()]
+    none = [np.zeros((2, 0), U)]
+    name, of = np.concatenate([x for k, x in raw if k == 0] or none, axis=1)
+    a, b = np.concatenate([x for k, x in raw if k == 1] or none, axis=1).view(np.int64)
+    _, _, c, d = stars(name, of.view(np.int64))
+    return pa.table({"a": np.concatenate([a, c]), "b": np.concatenate([b, d])})
 
 
 class Forest:
@@ -237,19 +247,28 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.digest), pa.array(s.n, pa.int64())], names=["doc_id", "set_id", "n"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = []
-            for _, texts in pieces(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            name, of, a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            where, blobs = [], []
+            for kind, x, y, by in ((0, name, of, name), (1, a, b, mix(a.view(U)))):
+                both = np.stack([x.view(U), y.view(U)])
+                for k, at in by_bucket(by, n):
+                    where.append(k)
+                    blobs.append(bytes([kind]) + np.ascontiguousarray(both[:, at]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+
+        for batch in batches:
+            for _, texts in pieces(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 s = Sets(texts, shingle)
                 name, of = signatures(s, percent)
-                held.append(np.stack([name, s.digest[of].view(U)]))
-            if held:
-                both = np.concatenate(held, axis=1)
-                where, blobs = [], []
-                for k, at in by_bucket(both[0], n):
-                    where.append(k)
-                    blobs.append(np.ascontiguousarray(both[:, at]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+                held.append((name, s.digest[of]))
+                if sum(len(x) for x, _ in held) >= FLUSH:
+                    yield dealt()
+        if held:
+            yield dealt()
 
     members = stored(docs.mapInArrow(digests, "doc_id long, set_id long, n long"), "sets")
     near = docs.mapInArrow(parts, "bucket int, data binary").groupBy("bucket").applyInArrow(shared_parts, "a long, b long")
@@ -291,5 +310,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each group of linked documents that with the least doc_id stays; rows without doc_id stay."""
-    worse = join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(worse, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    worse = join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("__worse")).distinct()
+    return docs.join(worse, docs["doc_id"].cast("long") == worse["__worse"], "left_anti")

@@ -13,8 +13,7 @@ rounds are named, and Spark finds the names that several documents share. A long
 has settles all windows within it. Round two: windows that are not settled but whose anchor is shared are named
 themselves. What is left has no equal anywhere.
 
-Names travel packed; a bucket is a range of hashes. A name that a third of all rows share costs one entry a row, in
-arrays, and never a pair. Null text has no words; rows without doc_id neither remove nor lose words.
+Names travel packed and are aggregated first: see ``names``. Null text has no words; rows without doc_id neither remove nor lose words.
 """
 
 from __future__ import annotations
@@ -29,8 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import BLOB, FOUND, Gather, shared
 from .shared import shared_path
-from .words import SPACED, U, Words, buckets, by_bucket, cover, expand, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
+from .words import SPACED, U, Words, buckets, cover, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
 
 WINDOW, MARGIN = 13, 3
 #: Rounds whose symbols are looked up as long repeats.
@@ -124,8 +124,8 @@ class Plan:
         """Names to look up, and the text of each."""
         return np.concatenate([self.named[self.used], self.long[0]]), np.concatenate([self.anchor_doc[self.used], self.long[3]])
 
-    def windows(self, shared: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flags of words in settled windows, the windows left to look up, and their anchors; the flags are of names()."""
+    def windows(self, shared: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flags of words in settled windows, and the windows left to look up; the flags are of names()."""
         n, a = len(self.words.hash), len(self.used)
         long = earlier[a:]
         settled = cover(n, self.long[1][long], self.long[2][long])
@@ -135,67 +135,7 @@ class Plan:
         np.maximum.at(reach, self.long[1][long], self.long[2][long])
         reach = np.maximum.accumulate(reach)
         left = known[self.anchor] & (reach[self.at] < self.at + self.window)
-        return settled, self.at[left], self.named[self.anchor[left]]
-
-
-def pack(names: np.ndarray, docs: np.ndarray) -> bytes:
-    """Names as they are; documents as differences, compressed."""
-    return np.array([len(names)], np.int64).tobytes() + names.tobytes() + zstandard.compress(np.diff(docs, prepend=0).tobytes(), 1)
-
-
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, U, n, 8), np.cumsum(np.frombuffer(zstandard.decompress(raw[8 + 8 * n :]), np.int64, n))
-
-
-BLOB = "bucket int, data binary"
-
-
-def packed(names: np.ndarray, docs: np.ndarray, n: int, deal: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
-    """Bucket numbers and blobs, each in order of documents; names are dealt by ``deal`` if given, which equal names share."""
-    where, blobs = [], []
-    for b, of in by_bucket(names if deal is None else deal, n):
-        of = of[np.argsort(docs[of], kind="stable")]
-        where.append(b)
-        blobs.append(pack(names[of], docs[of]))
-    return where, blobs
-
-
-def gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names and documents of a bucket by name, and for each entry the least and the greatest document of its name."""
-    names, docs = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-    order = np.argsort(names)
-    names, docs = names[order], docs[order]
-    head = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
-    n = np.diff(np.append(head, len(names)))
-    return names, docs, np.repeat(np.minimum.reduceat(docs, head), n), np.repeat(np.maximum.reduceat(docs, head), n)
-
-
-def by_doc(docs: np.ndarray, *cols: np.ndarray) -> pa.Table:
-    """A row for each document with its entries of each column as bytes."""
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    head = np.flatnonzero(np.diff(docs, prepend=docs[:1] - 1)) if len(docs) else np.zeros(0, np.int64)
-    out = {"doc_id": pa.array(docs[head], pa.int64())}
-    for k, c in enumerate(cols):
-        c = np.ascontiguousarray(c[order])
-        offsets = np.append(head, len(docs)).astype(np.int64) * c.itemsize
-        out[f"c{k}"] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(c.tobytes())]).cast(pa.binary())
-    return pa.table(out)
-
-
-def shared_names(table: pa.Table) -> pa.Table:
-    """Per document the names of this bucket that other documents have too, and whether an earlier one has."""
-    names, docs, low, high = gathered(table.column("data").to_pylist())
-    keep = low < high
-    return by_doc(docs[keep], names[keep], (docs > low)[keep].astype(np.uint8))
-
-
-def earlier_windows(table: pa.Table) -> pa.Table:
-    """Per document the windows that an earlier document has."""
-    names, docs, low, _ = gathered(table.column("data").to_pylist())
-    keep = docs > low
-    return by_doc(docs[keep], names[keep])
+        return settled, self.at[left]
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str | None], int]]:
@@ -209,6 +149,17 @@ def kept_digest(words: list[bytes], gone: np.ndarray) -> str:
     return hashlib.sha256(b" ".join(compress(words, (~gone).tolist()))).hexdigest()
 
 
+def dealt(gather: Gather) -> list[tuple]:
+    got = gather.take()
+    return [(1, w, x, None, None, None, None, None) for w, x in zip(*(got.column(c).to_pylist() for c in ("bucket", "data")), strict=True)] if got is not None else []
+
+
+def pass_two(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+    cols = zip(*rows, strict=True) if rows else [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "doc_id", "text", "n_words", "n_removed", "digest"])
+
+
 PASS_TWO = "tag int, bucket int, data binary, doc_id long, text binary, n_words long, n_removed long, digest string"
 
 
@@ -220,21 +171,23 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = buckets(docs)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = Gather(n)
         for b in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
             for ids, texts, _ in _texts(b):
                 some = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
                 plan = Plan([t for _, t in some], window)
                 names, of = plan.names()
-                held.append((names, np.array([i for i, _ in some], np.int64)[of]))
-            if held:
-                where, blobs = packed(*(np.concatenate(x) for x in zip(*held, strict=True)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+                gather.add(names, np.array([i for i, _ in some], np.int64)[of])
+                if gather.full():
+                    yield gather.take()
+        if (last := gather.take()) is not None:
+            yield last
 
-    shared = docs.mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(shared_names, "doc_id long, c0 binary, c1 binary")
-    told = shared.groupBy("doc_id").agg(F.collect_list("c0").alias("names"), F.collect_list("c1").alias("earlier"))
+    met = docs.mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(lambda t: shared(t), FOUND)
+    told = met.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = Gather(n)
         for b in batches:
             names, earlier = b.column("names").to_pylist(), b.column("earlier").to_pylist()
             out: list[tuple] = []
@@ -257,13 +210,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 known, before = known[order], before[order]
                 j = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 found = known[j] == keys
-                settled, left, anchors = plan.windows(found, found & before[j])
+                settled, left = plan.windows(found, found & before[j])
                 doc = np.searchsorted(plan.words.first, left, "right") - 1
                 numbers = np.array([ids[k - at] for k in hit], np.int64)
                 asked = span(plan.prefix, left, left + window)
                 once = np.unique(mix(asked + mix(doc.astype(U) + U(1))), return_index=True)[1]  # a text that repeats itself asks once
-                where, blobs = packed(asked[once], numbers[doc[once]], n, anchors[once])
-                out += [(1, w, x, None, None, None, None, None) for w, x in zip(where, blobs, strict=True)]
+                gather.add(asked[once], numbers[doc[once]])
                 open_ones = np.bincount(doc, minlength=len(hit))
                 for d, k in enumerate(hit):
                     flags = settled[plan.words.first[d] : plan.words.first[d + 1]]
@@ -274,16 +226,17 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         out.append((2, None, ranges.tobytes(), ids[k - at], zstandard.compress(words, 3), len(flags), None, None))
                     else:
                         out.append((0, None, None, ids[k - at], None, len(flags), int(flags.sum()), kept_digest(words.split(), flags)))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
-            cols = zip(*out, strict=True) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "doc_id", "text", "n_words", "n_removed", "digest"])
+            yield pass_two(out)
+            if gather.full():
+                yield pass_two(dealt(gather))
+        yield pass_two(dealt(gather))
 
     path = shared_path(spark, "windows")
     told_docs = docs.join(told, "doc_id", "left").select("doc_id", "text", "names", "earlier")
     told_docs.mapInArrow(settle, PASS_TWO).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     part = spark.read.schema(PASS_TWO).parquet(path)
     plain = part.filter("tag = 0").select("doc_id", "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(earlier_windows, "doc_id long, c0 binary").groupBy("doc_id").agg(F.collect_list("c0").alias("names"))
+    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: shared(t, True), FOUND).groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("names").alias("names"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,7 +13,9 @@ repeated surrounding settles all windows around its anchor. Second round: for an
 surroundings aren't, and for one of each group of equal surroundings, windows are taken in blocks of sixteen. The windows of
 a block differ only in the fifteen bytes before and behind its core, so a block travels as the hash of its core and those
 thirty bytes; sorting these gives the suffix order of all windows of equal cores, and runs of equal keys in it the previous
-and next factors. Texts aren't compared in pairs, and a string that a third of all rows share costs a few entries a row.
+and next factors. Anchors with more than one in ``SHARE`` of all entries, at most so many, are told to all tasks; their windows
+travel one by one, as names, which tasks aggregate before they deal them out, so no core is held by very many blocks.
+Texts aren't compared in pairs, and a string that a third of all rows share costs a few entries a row.
 
 Null text is empty; matches never cross rows; repeated rows are copies of each other.
 """
@@ -29,12 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path
-from .substring_dedup import BLOB, by_doc, gathered, packed
-from .words import BYTES, U, buckets, by_bucket, cover, mix, pieces, rolling, small_batches, span, splitmix, table, texts_of
+from .names import BLOB, FOUND, Gather, by_key, heavy_names, shared
+from .shared import shared_path, stored
+from .words import BYTES, U, buckets, by_bucket, cover, expand, mix, pieces, rolling, small_batches, span, splitmix, table, texts_of
 
 LENGTH, GRAM, BLOCK = 400, 128, 16
 SALT = splitmix(4, 31)
+#: Entries from which, and share of all entries above which, an anchor's windows travel one by one.
+HEAVY, SHARE = 2_000, 100_000
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -166,15 +170,6 @@ class Anchors:
         return np.flatnonzero(most == h)
 
 
-def repeated_names(t: pa.Table) -> pa.Table:
-    """Per row key the names of this bucket that stand more than once, and whether a smaller key has them."""
-    names, docs, low, _ = gathered(t.column("data").to_pylist())
-    head = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
-    n = np.diff(np.append(head, len(names)))
-    keep = np.repeat(n, n) > 1
-    return by_doc(docs[keep], names[keep], (docs > low)[keep].astype(np.uint8))
-
-
 def blocks_of(a: Anchors, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of the windows of anchors ``of``: core hash, thirty flanking bytes, windows it holds as bits, first window, text."""
     far, near = a.at[of] - a.low[of], a.at[of] - a.high[of]
@@ -236,13 +231,24 @@ def factors(t: pa.Table, later: bool = True) -> pa.Table:
             hit[by[:-1][same]] = True
         got[has[hit]] |= np.uint16(1 << k)
     hit = got > 0
-    return by_doc(key[hit], at[hit].astype(np.int32), got[hit])
+    return by_key(key[hit], ("at", "bits"), at[hit].astype(np.int32), got[hit])
+
+
+def dealt(gather: Gather) -> list[tuple]:
+    got = gather.take()
+    return [(3, w, x, None, None, None, None, None) for w, x in zip(*(got.column(c).to_pylist() for c in ("bucket", "data")), strict=True)] if got is not None else []
+
+
+def pass_two(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    cols = zip(*rows, strict=True) if rows else [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "key", "doc_id", "text", "n_bytes", "digest"])
 
 
 PASS_TWO = "tag int, bucket int, data binary, key long, doc_id long, text string, n_bytes long, digest string"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Per row its bytes, those removed, the runs they form, and the digest of the rest."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -257,21 +263,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             at += len(keys)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = Gather(n, repeats=True)
         for b in batches:
-            names, owners = [], []
             for keys, texts, _ in batch(b):
                 a = Anchors(texts, length, gram)
                 k = np.array(keys, np.int64)
-                names += [a.name, a.around[a.whole]]
-                owners += [k[a.doc], k[a.doc[a.whole]]]
-            if names:
-                where, blobs = packed(np.concatenate(names), np.concatenate(owners), n)
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+                gather.add(a.name, k[a.doc])
+                gather.add(a.around[a.whole], k[a.doc[a.whole]])
+                if gather.full():
+                    yield gather.take()
+        if (last := gather.take()) is not None:
+            yield last
 
-    repeated = docs.select("key", "text").mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(repeated_names, "doc_id long, c0 binary, c1 binary")
-    told = repeated.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("c0").alias("names"), F.collect_list("c1").alias("earlier"))
+    repeated = stored(docs.select("key", "text").mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(lambda t: shared(t, least=heavy), FOUND), "anchors")
+    heaviest = spark.sparkContext.broadcast(heavy_names(repeated, heavy, SHARE))
+    told = repeated.filter("key is not null").groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = Gather(n, repeats=True)
         for b in batches:
             ids, names, earlier = (b.column(c).to_pylist() for c in ("doc_id", "names", "earlier"))
             out: list[tuple] = []
@@ -304,8 +313,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                 chosen = np.zeros(len(a.at), bool)
                 chosen[np.unique(mix(a.around + own[a.doc]), return_index=True)[1]] = True
                 of = np.flatnonzero(some & (~around | ~before[j] & (chosen | keep_first)))
-                core, flank, mask, base, doc = blocks_of(a, of)
                 numbers = np.array([keys[k] for k in hit], np.int64)
+                single = np.isin(a.name[of], heaviest.value)
+                at_once, of = of[single], of[~single]
+                start = expand(a.low[at_once], a.high[at_once] - a.low[at_once] + 1)
+                gather.add(span(a.prefix, start, start + length) ^ SALT[3], numbers[np.repeat(a.doc[at_once], a.high[at_once] - a.low[at_once] + 1)])
+                core, flank, mask, base, doc = blocks_of(a, of)
                 for bucket, x in by_bucket(core, n):
                     out.append((1, bucket, pack_blocks(core[x], flank[x], mask[x], base[x] - a.first[doc[x]], numbers[doc[x]]), None, None, None, None, None))
                 settled = cover(len(a.bytes), a.at[gone] - w + 1, a.at[gone] + gram + w - 1)
@@ -313,35 +326,47 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                     edge = np.diff(settled[a.first[d] : a.first[d + 1]].astype(np.int8), prepend=0, append=0)
                     ranges = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype(np.int32)
                     out.append((2, None, ranges.tobytes(), keys[k], ids[at + k], texts[k], len(a.raw[d]), None))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            cols = zip(*out, strict=True) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "bucket", "data", "key", "doc_id", "text", "n_bytes", "digest"])
+            yield pass_two(out)
+            if gather.full():
+                yield pass_two(dealt(gather))
+        yield pass_two(dealt(gather))
 
     path = shared_path(spark, "factors")
     docs.join(told, "key", "left").select("key", "doc_id", "text", "names", "earlier").mapInArrow(settle, PASS_TWO).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     part = spark.read.schema(PASS_TWO).parquet(path)
     none = F.lit(0).cast("long")
     plain = part.filter("tag = 0").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: factors(t, not keep_first), "doc_id long, c0 binary, c1 binary")
-    told_again = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("c0").alias("at"), F.collect_list("c1").alias("bits"))
+    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: factors(t, not keep_first), "key long, at binary, bits binary")
+    told_again = found.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
+
+    singly = part.filter("tag = 3").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: shared(t), FOUND).groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, runs, digests = [], [], []
-            for text, ranges, at, bits in zip(*(b.column(c).to_pylist() for c in ("text", "data", "at", "bits")), strict=True):
+            for text, ranges, at, bits, names, earlier in zip(*(b.column(c).to_pylist() for c in ("text", "data", "at", "bits", "names", "earlier")), strict=True):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 starts, ends = np.frombuffer(ranges, np.int32).reshape(2, -1).astype(np.int64)
                 base = np.frombuffer(b"".join(at or []), np.int32).astype(np.int64)
                 held = np.frombuffer(b"".join(bits or []), np.uint16)
                 one = np.concatenate([base[held & (1 << k) > 0] + k for k in range(BLOCK)])
+                if names:
+                    start = np.arange(len(raw) - length + 1)
+                    own = span(rolling(BYTES[raw]), start, start + length) ^ SALT[3]
+                    known, before = np.frombuffer(b"".join(names), U), np.frombuffer(b"".join(earlier), np.uint8) > 0
+                    same = np.isin(own, known)
+                    if keep_first:  # the first of a name that no earlier row has stays
+                        first = np.unique(own, return_index=True)[1]
+                        same[first[~np.isin(own[first], known[before])]] = False
+                    one = np.concatenate([one, start[same]])
                 gone = cover(len(raw), np.concatenate([starts, one]), np.concatenate([ends, one + length]))
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
                 digests.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rest = part.filter("tag = 2").select("key", "doc_id", "text", "n_bytes", "data").join(told_again, "key", "left")
-    return plain.unionByName(rest.select("doc_id", "text", "n_bytes", "data", "at", "bits").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    rest = part.filter("tag = 2").select("key", "doc_id", "text", "n_bytes", "data").join(told_again, "key", "left").join(singly, "key", "left")
+    return plain.unionByName(rest.select("doc_id", "text", "n_bytes", "data", "at", "bits", "names", "earlier").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

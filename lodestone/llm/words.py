@@ -159,8 +159,8 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
-    """How many buckets a packed shuffle over df takes: in proportion to its bytes."""
-    return int(min(max(16, scan_bytes(df) // each), 1 << 24))
+    """How many buckets a packed shuffle over df takes: in proportion to its bytes, and enough for the cores of small runs."""
+    return int(min(max(128, scan_bytes(df) // each), 1 << 24))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

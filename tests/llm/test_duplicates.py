@@ -50,13 +50,17 @@ def strings():
 
 def test_repeated_strings(frame, rows, strings, corpus):
     docs = [*strings[0], (3, strings[1]), (3, strings[1]), (None, strings[1][:700]), (None, None)]
-    assert rows(suffix_dedup.dedup(frame(docs)).collect()) == rows(brute.repeats(docs))
+    want = rows(brute.repeats(docs))
+    assert rows(suffix_dedup.dedup(frame(docs)).collect()) == want
+    assert rows(suffix_dedup.dedup(frame(docs), heavy=2).collect()) == want
     assert rows(suffix_dedup.dedup(frame(corpus)).collect()) == rows(brute.repeats(corpus))
     assert suffix_dedup.dedup(frame(docs).limit(0)).collect() == []
 
 
 def test_first_copies_stay(frame, rows, strings):
-    assert rows(suffix_dedup.dedup(frame(strings[0]), keep_first=True).collect()) == rows(brute.repeats(strings[0], first=True))
+    want = rows(brute.repeats(strings[0], first=True))
+    for heavy in (suffix_dedup.HEAVY, 2):
+        assert rows(suffix_dedup.dedup(frame(strings[0]), keep_first=True, heavy=heavy).collect()) == want
 
 
 def test_repeated_windows(frame, rows, corpus, dice):

@@ -126,3 +126,32 @@ def test_decontamination(spark, frame, corpus, rows, most):
     got = decontaminate.decontaminate(frame(docs), frame(items, "item_id long, text string"), broadcast_bytes=most)
     assert rows(got.collect(), 6) == rows(brute.leaks(docs, items))
     assert decontaminate.decontaminate(frame(docs).limit(0), frame(items, "item_id long, text string"), broadcast_bytes=most).collect() == []
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty texts, and columns whose names might clash."""
+    from lodestone.llm import bpe, set_join
+
+    good = " ".join(f"word{k} of" for k in range(60))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, None, None, None, None), (None, good + " end", "en", "s", 1), (None, "", "en", None, 0), (None, "$$ " * 80, "en", "s", 1), (3, good.replace("word7 ", "other "), "en", "s", 7)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["id", "hash", "spans", "bad_id", "row", "key", "n_words", "kept", "token_ids", "_words", "contaminated"]
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], names + "".join(f", {c} int" for c in extra))
+    spark.createDataFrame([(1, "word1 of word2 of word3 of word4 of word5 of word6 of")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for stage in (quality.stage, set_join.stage, decontaminate.stage, pii.stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema == docs.schema
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert sorted(str(r.doc_id) for r in quality.stage(spark, docs, str(tmp_path)).collect()) == ["1", "1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in decontaminate.stage(spark, docs, str(tmp_path)).collect()) == ["2", "None", "None"]
+    assert "token_ids" in bpe.stage(spark, docs, str(tmp_path)).columns and bpe.stage(spark, docs, str(tmp_path)).count() == 7
+
+
+def test_queries_ignore_further_columns(spark, frame, rows):
+    """Operators take what they need by name; columns with clashing names don't matter."""
+    from lodestone.llm import set_join, substring_dedup, suffix_dedup
+
+    plain = frame([(1, "a b c d " * 200), (2, "a b c d " * 200), (3, None)])
+    wide = plain.selectExpr("*", "1 as key", "2 as set_id", "3 as root", "4 as names", "5 as earlier", "6 as tag", "7 as bucket", "8 as row")
+    for f in (set_join.join, substring_dedup.dedup, suffix_dedup.dedup, licenses.scan, pii.extract):
+        assert rows(f(wide).collect()) == rows(f(plain).collect())
