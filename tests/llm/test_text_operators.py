@@ -155,3 +155,17 @@ def test_queries_ignore_further_columns(spark, frame, rows):
     wide = plain.selectExpr("*", "1 as key", "2 as set_id", "3 as root", "4 as names", "5 as earlier", "6 as tag", "7 as bucket", "8 as row")
     for f in (set_join.join, substring_dedup.dedup, suffix_dedup.dedup, licenses.scan, pii.extract):
         assert rows(f(wide).collect()) == rows(f(plain).collect())
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op4_set_join", "op5_window_dedup", "op9_decontaminate"])
+def test_sql(spark, rows, name):
+    import duckdb
+
+    from lodestone.llm import registry
+
+    con = duckdb.connect()
+    for t in ("pages", "documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    got, want = registry.queries()[name](spark, DIR), con.sql(registry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
