@@ -370,3 +370,26 @@ def payload(wkt: Column | str, crs: str = "EPSG:4326") -> Column:
     many = F.transform(polygons(wkt), lambda s: F.transform(s, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
     body = F.when(kind == "POINT", F.to_json(F.struct(F.lit("Point").alias("type"), F.array(p["x"], p["y"]).alias("coordinates")))).when(kind == "MULTIPOLYGON", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), many.alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("Polygon").alias("type"), rings_.alias("coordinates"))))
     return F.when(_c(wkt).isNotNull(), F.struct(_c(wkt).alias("wkt"), body.alias("geojson"), F.lit(crs).alias("crs"), kind.alias("type")))
+
+
+@F.pandas_udf(T.StringType())
+def buffer(wkt: pd.Series, radius: pd.Series) -> pd.Series:
+    """A geometry with all within a distance of it: the union of the polygon, a box along each edge, and a circle at each corner."""
+
+    def circle(x: float, y: float, r: float) -> list[Ring]:
+        ps = [(x + r * math.cos(k * math.pi / 16), y + r * math.sin(k * math.pi / 16)) for k in range(32)]
+        return [[*ps, ps[0]]]
+
+    def one(w: str | None, r: float | None) -> str | None:
+        rs = parse(w)
+        if not rs or r is None or r <= 0:
+            return w
+        shapes = [rs] if w.lstrip().upper().startswith(("POLYGON", "MULTIPOLYGON")) else []
+        for x0, y0, x1, y1 in _edges(rs):
+            n = math.hypot(x1 - x0, y1 - y0)
+            dx, dy = -(y1 - y0) / n * r, (x1 - x0) / n * r
+            shapes.append([[(x0 + dx, y0 + dy), (x0 - dx, y0 - dy), (x1 - dx, y1 - dy), (x1 + dx, y1 + dy), (x0 + dx, y0 + dy)]])
+        shapes += [circle(x, y, r) for x, y in {p for ring in rs for p in ring}]
+        return write_wkt(union_rings(shapes))
+
+    return pd.Series([one(w, r) for w, r in zip(wkt, radius, strict=True)], dtype="object")

@@ -244,3 +244,22 @@ def polygon_cover(geometry: Column | str, level: int, refine: bool = True) -> Co
         return pd.Series(out)
 
     return cells(_c(geometry))
+
+
+def infer(grid: str | None = None, resolution: int | None = None, level: int | None = None) -> str:
+    """Which grid is meant: resolutions are H3's, levels S2's; h3 if nothing says so."""
+    hints = {g for g, given in (("h3", resolution), ("s2", level)) if given is not None} | ({grid} if grid else set())
+    if len(hints) > 1 or hints - {"h3", "s2"}:
+        raise ValueError(f"one of h3 and s2 is needed: {sorted(hints)}")
+    return hints.pop() if hints else "h3"
+
+
+def h3_cell(lat: Column | str, lon: Column | str, resolution: int) -> Column:
+    """H3 cells, where that library is installed."""
+    import h3  # raises ImportError elsewhere
+
+    @F.pandas_udf("string")
+    def cells(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([h3.latlng_to_cell(x, y, resolution) if pd.notna(x) and pd.notna(y) and abs(x) <= 90 and abs(y) <= 180 else None for x, y in zip(a, b, strict=True)], dtype="object")
+
+    return cells(_c(lat).cast("double"), _c(lon).cast("double"))

@@ -147,3 +147,15 @@ def pad(c: Column | str, n: int) -> Column:
     """Zeros before a shorter value; longer ones stay whole."""
     t = F.trim(_c(c).cast("string"))
     return F.when(F.length(t) < n, F.lpad(t, n, "0")).otherwise(t)
+
+
+def named(code: Column | str, names: dict[str, str]) -> Column:
+    """The name of a code, in any case, by a table given; a code without one stays."""
+    m = F.create_map(*(F.lit(x) for kv in ((k.lower(), v) for k, v in names.items()) for x in kv))
+    return F.coalesce(F.try_element_at(m, F.lower(_c(code))), _c(code))
+
+
+def coded(name: Column | str, names: dict[str, str]) -> Column:
+    """The code of a name, in any case; null if there is none."""
+    m = F.create_map(*(F.lit(x) for kv in ((v.lower(), k) for k, v in names.items()) for x in kv))
+    return F.try_element_at(m, F.lower(_c(name)))

@@ -174,3 +174,24 @@ def geojson(df: DataFrame, geometry: str, properties: Sequence[str]) -> Column:
     """A feature as JSON text: type, properties, and the coordinates of polygons."""
     coordinates = F.transform(g.rings(geometry), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+
+
+def adjacent_components(df: DataFrame, key: str, geometry: str, size: float = 1.0) -> DataFrame:
+    """(key, component): polygons that share area or edges, directly or through others, have the least key of them."""
+    from .relational import components_of
+
+    own = df.select(F.col(key).alias("__k"), F.col(geometry).alias("__g"))
+    edges = polygon_pairs(own, own, "__g", "__g", "intersects", size).filter("__k_left < __k_right").select(F.col("__k_left").alias("a"), F.col("__k_right").alias("b"))
+    found = components_of(edges).select(F.col("node").alias(key), "component")
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def feature_collection(df: DataFrame, geometry: str, properties: Sequence[str]) -> DataFrame:
+    """One row: a GeoJSON collection of a bounded table's features."""
+    return df.select(geojson(df, geometry, properties).alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("f")), ","), F.lit("]}")).alias("geojson"))
+
+
+def covering(polygons: DataFrame, geometry: str, x: float, y: float) -> DataFrame:
+    """Polygons that cover one place; boxes are looked at first."""
+    b = polygons.withColumn("__b", g.bbox(geometry)).filter(F.lit(x).between(F.col("__b.xmin"), F.col("__b.xmax")) & F.lit(y).between(F.col("__b.ymin"), F.col("__b.ymax")))
+    return b.filter(g.covers(g.rings(geometry), F.lit(x), F.lit(y))).drop("__b")

@@ -144,11 +144,11 @@ def rake(df: DataFrame, targets: dict[str, dict[str, float]], weight: str = "wei
     names = list(targets)
     require(df, *names, start)
     w = F.col(start).cast("double") if start else F.lit(1.0)
-    cells = [(tuple(str(r[n]) for n in names), r["__w"]) for r in df.groupBy(*names).agg(F.sum(w).alias("__w")).collect()]
     for n, t in targets.items():
-        strange = {k[names.index(n)] for k, _ in cells} - {str(v) for v in t}
+        strange = df.filter(F.col(n).isNull() | ~F.col(n).cast("string").isin([str(v) for v in t])).select(n).limit(1).collect()
         if strange:
-            raise ValueError(f"{n} has values without a target: {sorted(strange)[:5]}")
+            raise ValueError(f"{n} has values without a target: {strange[0][0]!r}")
+    cells = [(tuple(str(r[n]) for n in names), r["__w"]) for r in df.groupBy(*names).agg(F.sum(w).alias("__w")).collect()]
     total = sum(x for _, x in cells)
     factor = {k: 1.0 for k, _ in cells}
     for _ in range(iterations):

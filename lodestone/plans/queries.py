@@ -845,3 +845,26 @@ def _(s, d):
 def _(s, d):
     c = s.createDataFrame([("red widget",), ("small ring",), ("big gear",)], "title string")
     return text.fuzzy_match(t(s, d, "part").select("p_partkey", "p_name"), "p_name", c, "title").select("p_partkey", "title", "score")
+
+
+@query("adjacent_components", "SELECT n_name, (SELECT min(n_name) FROM nation b WHERE b.n_nationkey // 5 = nation.n_nationkey // 5) AS component FROM nation")
+def _(s, d):
+    n = F.col("n_nationkey")
+    x, y = (n % 5 * 10).cast("double"), (F.floor(n / 5) * 20).cast("double")
+    rows_ = t(s, d, "nation").select("n_name", geometry.box(x, y, x + 10, y + 10).alias("shape"))
+    return spatial.adjacent_components(rows_, "n_name", "shape", 10.0)
+
+
+@query("covering", "SELECT n_name FROM nation WHERE n_nationkey = 12")
+def _(s, d):
+    return spatial.covering(districts(s, d), "shape", 23.5, 27.25).select("n_name")
+
+
+@query("buffered_area", "SELECT n_name, round(100 + 40 * 2 + 16 * 4 * sin(pi() / 16), 6) AS area FROM nation")
+def _(s, d):
+    return rounded(districts(s, d).select("n_name", geometry.area(geometry.buffer(F.col("shape"), F.lit(2.0))).alias("area")))
+
+
+@query("named_codes", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Houses' ELSE c_mktsegment END AS name FROM customer")
+def _(s, d):
+    return t(s, d, "customer").select("c_custkey", text.named("c_mktsegment", {"building": "Houses"}).alias("name"))

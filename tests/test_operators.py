@@ -315,3 +315,44 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(r.window_start, r.event_type): r.n for r in windows.windowed(src, "ts", ["event_type"], "value").collect()}
+
+
+def test_geocode_cache(spark, tmp_path):
+    c = io.GeocodeCache(spark, str(tmp_path / "g"))
+    rows_ = "address string, latitude double, longitude double, source string"
+    c.put(spark.createDataFrame([("1 Main  St", 40.0, -75.0, "a"), ("2 Oak", 41.0, -76.0, "a")], rows_))
+    c.put(spark.createDataFrame([("1 main st", 40.5, -75.5, "b")], rows_))
+    got = {r.address: r.source for r in c.get(spark.createDataFrame([("1 MAIN ST",), ("9 Elm",)], "address string")).collect()}
+    assert got == {"1 MAIN ST": "b", "9 Elm": None} and c.latest().count() == 2 and c.within(40.9, 41.1, -77, -75).count() == 1
+
+
+def test_files_and_catalogue(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("hello")
+    io.copy_tree(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert io.exists(spark, str(tmp_path / "b" / "x.txt")) and not io.exists(spark, str(tmp_path / "c"))
+    assert text.file_digests(spark, str(tmp_path / "b" / "x.txt")).first().digest == __import__("hashlib").sha256(b"hello").hexdigest()
+    assert io.quick_signature(spark, str(tmp_path / "b" / "x.txt")).first().size == 5
+    spark.range(1).createOrReplaceTempView("seen_here")
+    assert "seen_here" in io.tables(spark) and io.table_info(spark, "seen_here").first().type == "bigint"
+    assert io.summary_rows(spark, [(1, None)], ["a", "b"]).first() == ("1", None)
+
+
+def test_grid_shapes():
+    c = int(grid.cell_ids(__import__("numpy").array([40.0]), __import__("numpy").array([-75.0]), 12)[0])
+    assert len(grid.ring(c, 1)) == 5 and grid.steps(c, c) == 0 and all(grid.steps(c, n) == 1 for n in grid.neighbours(c))
+    assert c in grid.cover_box(39.9, -75.1, 40.1, -74.9, 12) and 1 <= len(grid.region_cover(39.9, -75.1, 40.1, -74.9)) <= 8
+    lats, lons = zip(*grid.corners(c), strict=True)
+    assert min(lats) <= 40 <= max(lats) and min(lons) <= -75 <= max(lons)
+    assert grid.level_for("County") == grid.level_for_area(3000) and grid.infer(level=3) == "s2" and grid.infer() == "h3"
+    with pytest.raises(ValueError):
+        grid.infer("h3", level=3)
+
+
+def test_union_and_buffer():
+    a, b = geometry.parse("POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), geometry.parse("POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))")
+    u = geometry.union_rings([a, b])
+    assert len(u) == 1 and abs(geometry.shoelace(u[0]) - 7) < 1e-9
+    ring = [geometry.parse(f"POLYGON (({x} {y}, {x + 1} {y}, {x + 1} {y + 1}, {x} {y + 1}, {x} {y}))") for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    assert geometry.write_wkt(geometry.union_rings(ring)).count("(") == 3 and geometry.write_wkt(geometry.union_rings([])) == "POLYGON EMPTY"
+    assert geometry.write_wkt(geometry.union_rings([a, geometry.parse("POLYGON ((5 5, 6 5, 6 6, 5 6, 5 5))")])).startswith("MULTIPOLYGON")
