@@ -406,7 +406,7 @@ def _(s, d):
     return survey.column_significance(survey.chain(respondents(s, d), "segment", ["region"], weight="weight")).select("break_key", "category", "sig_flag")
 
 
-@query("raked_margins", "SELECT 'AUTOMOBILE' AS segment, 0.3 AS share UNION ALL SELECT 'BUILDING', 0.1 UNION ALL SELECT 'FURNITURE', 0.2 UNION ALL SELECT 'HOUSEHOLD', 0.25 UNION ALL SELECT 'MACHINERY', 0.15")
+@query("raked_margins", "SELECT 'AUTOMOBILE' AS segment, 0.3::DOUBLE AS share UNION ALL SELECT 'BUILDING', 0.1 UNION ALL SELECT 'FURNITURE', 0.2 UNION ALL SELECT 'HOUSEHOLD', 0.25 UNION ALL SELECT 'MACHINERY', 0.15")
 def _(s, d):
     targets = {"segment": {"AUTOMOBILE": 0.3, "BUILDING": 0.1, "FURNITURE": 0.2, "HOUSEHOLD": 0.25, "MACHINERY": 0.15}, "region": {"AFRICA": 0.2, "AMERICA": 0.2, "ASIA": 0.3, "EUROPE": 0.2, "MIDDLE EAST": 0.1}}
     w = survey.rake(respondents(s, d).drop("weight"), targets)
@@ -710,7 +710,7 @@ def _(s, d):
     return rounded(spatial.polygon_pairs(districts(s, d), shifted(s, d), "shape", "area", "overlaps", 10.0).select("n_name", "target", "shared_area"))
 
 
-@query("apportion", f"SELECT b.n_name AS target, round(sum(a.n_regionkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6 ELSE 0.4 END), 6) AS v, round(sum(a.n_nationkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END) / sum(CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END), 6) AS k FROM {SHIFT} GROUP BY 1")
+@query("apportion", f"SELECT b.n_name AS target, round(sum(a.n_regionkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6 ELSE 0.4 END::DOUBLE), 6) AS v, round(sum(a.n_nationkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END) / sum(CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END), 6) AS k FROM {SHIFT} GROUP BY 1")
 def _(s, d):
     source = districts(s, d).join(t(s, d, "nation").select("n_name", F.col("n_regionkey").alias("v"), F.col("n_nationkey").alias("k")), "n_name")
     return rounded(spatial.apportion(source, shifted(s, d), "shape", "area", "target", ["v"], ["k"], 10.0))
