@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..compat import no_nan, ratio, require, safe_sum
+from .quantiles import exact_quantiles
 
 #: Lower bounds of rapid growth, moderate growth, stable and moderate decline (fixed values).
 PRESETS = {
@@ -126,12 +127,14 @@ def classify_zscore(df: DataFrame, column: str, output: str = "trend") -> DataFr
 def quantile_bins(df: DataFrame, column: str, n: int, output: str) -> DataFrame:
     """df with the number of the bin, from 0, between linearly interpolated quantiles; equal edges count once.
 
-    Edges are one row of exact percentiles. The first bin holds its lower edge; others are open below.
+    Edges are exact; they are found first, and are then constants of the plan. The first bin holds its lower edge; others are
+    open below.
     """
-    edges = df.agg(F.array_distinct(F.percentile(column, [i / n for i in range(n + 1)])).alias("__e"))
-    inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
-    at = F.aggregate(inner, F.lit(0), lambda s, e: s + F.when(F.col(column) > e, 1).otherwise(0))
-    return df.crossJoin(F.broadcast(edges)).withColumn(output, F.when(F.col(column).isNotNull() & (F.size("__e") > 1), at)).drop("__e")
+    edges = sorted(set(exact_quantiles(df, column, [i / n for i in range(n + 1)]) or []))
+    if len(edges) < 2:
+        return df.withColumn(output, F.lit(None).cast("int"))
+    at = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    return df.withColumn(output, F.when(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")), at))
 
 
 def classify_quantiles(df: DataFrame, column: str, n: int = 5, labels: Sequence[str] | None = None, output: str = "trend") -> DataFrame:
@@ -153,9 +156,10 @@ def bivariate_crosstab(df: DataFrame, a: str, b: str, n: int = 3) -> DataFrame:
 def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5, output: str = "outlier") -> DataFrame:
     """df with low_outlier, high_outlier or normal, by quartiles or by z scores."""
     if method == "iqr":
-        q = F.percentile(column, [0.25, 0.75])
-        one = df.agg((q[0] - threshold * (q[1] - q[0])).alias("__lo"), (q[1] + threshold * (q[1] - q[0])).alias("__hi"))
-    elif method == "zscore":
+        q = exact_quantiles(df, column, [0.25, 0.75])
+        lo, hi = (q[0] - threshold * (q[1] - q[0]), q[1] + threshold * (q[1] - q[0])) if q else (None, None)
+        return df.withColumn(output, F.when(F.col(column) < F.lit(lo).cast("double"), "low_outlier").when(F.col(column) > F.lit(hi).cast("double"), "high_outlier").otherwise("normal"))
+    if method == "zscore":
         one = df.agg((F.avg(column) - threshold * F.stddev_samp(column)).alias("__lo"), (F.avg(column) + threshold * F.stddev_samp(column)).alias("__hi"))
     else:
         raise ValueError(f"method is iqr or zscore: {method!r}")

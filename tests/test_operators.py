@@ -356,3 +356,17 @@ def test_union_and_buffer():
     ring = [geometry.parse(f"POLYGON (({x} {y}, {x + 1} {y}, {x + 1} {y + 1}, {x} {y + 1}, {x} {y}))") for x in range(3) for y in range(3) if (x, y) != (1, 1)]
     assert geometry.write_wkt(geometry.union_rings(ring)).count("(") == 3 and geometry.write_wkt(geometry.union_rings([])) == "POLYGON EMPTY"
     assert geometry.write_wkt(geometry.union_rings([a, geometry.parse("POLYGON ((5 5, 6 5, 6 6, 5 6, 5 5))")])).startswith("MULTIPOLYGON")
+
+
+@pytest.mark.parametrize("keep", [50_000, 40])
+def test_exact_quantiles(spark, keep):
+    import numpy as np
+
+    from lodestone.operators.quantiles import exact_quantiles
+
+    d = np.random.Generator(np.random.PCG64(4))
+    for values in (d.normal(size=3000), d.integers(0, 30, 3000).astype(float), np.r_[np.zeros(2500), d.normal(size=500)], d.exponential(size=1), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1]
+        assert np.allclose(exact_quantiles(df, "v", shares, keep), np.quantile(values, shares), rtol=1e-12, atol=1e-12)
+    assert exact_quantiles(df.limit(0), "v", [0.5]) is None
