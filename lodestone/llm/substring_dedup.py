@@ -164,7 +164,13 @@ PASS_TWO = "tag int, bucket int, data binary, doc_id long, text binary, n_words
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row the words removed because an earlier document has their window, and the digest of the rest."""
+    """Per row the words removed because an earlier document has their window, and the digest of the rest.
+
+    A window takes 13 words at least: a symbol of the second round has up to four, starts within any four words, and needs
+    three on either side.
+    """
+    if window < 2 * MARGIN + 7:
+        raise ValueError(f"windows have {2 * MARGIN + 7} words at least: {window}")
     spark = docs.sparkSession
     small_batches(spark)
     docs = texts_of(docs)
