@@ -99,11 +99,6 @@ def log_gamma_sql(z: str) -> str:
     return f"(({w} - 0.5D) * ln({w}) - {w} + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12D * {w}) - 1D / (360D * pow({w}, 3)) + 1D / (1260D * pow({w}, 5)) - ({shift}))"
 
 
-def normal_tail_sql(z: str) -> str:
-    """P(|N| > z) through the chi-square tail with one degree of freedom."""
-    return f"{z} * {z}"
-
-
 def moe_table(df: DataFrame, row: str, col: str, value: str, moe: str) -> DataFrame:
     """Per cell the summed estimate and its margin of error, the root of the summed squares."""
     require(df, row, col, value, moe)

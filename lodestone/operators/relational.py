@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..compat import require, safe_sum
@@ -190,12 +190,3 @@ def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30
         if not moved:
             break
     return label
-
-
-def first_match(*conditions: tuple[Column, object], otherwise=None) -> Column:
-    """A chain of when-clauses; the first condition that holds decides."""
-    out = None
-    for c, v in conditions:
-        value = v if isinstance(v, Column) else F.lit(v)
-        out = F.when(c, value) if out is None else out.when(c, value)
-    return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
