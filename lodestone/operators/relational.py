@@ -170,15 +170,20 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = No
     return df.select(*ids, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(list(ids), values, "variable", "value")
 
 
-def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -> DataFrame:
-    """(node, component) by repeated minima over neighbours and jumps to the label's label; checkpointed each round."""
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
-    spark = edges.sparkSession
+def pinned(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder: what reads it twice, as row numbers are, reads the same rows."""
+    spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = both.checkpoint()
+    return df.checkpoint()
+
+
+def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -> DataFrame:
+    """(node, component) by repeated minima over neighbours and jumps to the label's label; checkpointed each round."""
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
+    both = pinned(both)
     label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))

@@ -42,15 +42,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, g
     names = [f"{c}_right" if c in both else c for c in polygons.columns]
     b = polygons.toDF(*names).withColumn("__box", g.bbox(f"{geometry}_right" if geometry in both else geometry)).withColumn("__rings", g.rings(f"{geometry}_right" if geometry in both else geometry))
     b = _cells(b, size, "__").drop("__cx", "__cy")
-    if how == "left":
-        a = a.withColumn("__id", F.monotonically_increasing_id())
-    met = a.withColumn("cx", F.floor(px / size)).withColumn("cy", F.floor(py / size)).join(b, ["cx", "cy"])
-    inside = met.filter(px.between(F.col("__box.xmin"), F.col("__box.xmax")) & py.between(F.col("__box.ymin"), F.col("__box.ymax")) & g.covers(F.col("__rings"), px, py))
-    if how == "inner":
-        return inside.select(*a.columns, *names)
-    if how != "left":
+    if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left: {how!r}")
-    return a.join(inside.select("__id", *names), "__id", "left").drop("__id")
+    # a point is in one cell, so the outer join needs nothing but the predicate
+    a = a.withColumn("__px", F.floor(px / size)).withColumn("__py", F.floor(py / size))
+    box = px.between(F.col("__box.xmin"), F.col("__box.xmax")) & py.between(F.col("__box.ymin"), F.col("__box.ymax"))
+    met = a.join(b, (F.col("__px") == F.col("cx")) & (F.col("__py") == F.col("cy")) & box & g.covers(F.col("__rings"), px, py), how)
+    return met.select(*(F.col(f"`{c}`") for c in a.columns if c not in ("__px", "__py")), *(F.col(f"`{c}`") for c in names))
 
 
 def assign(points: DataFrame, layers: dict[str, tuple[DataFrame, str, Sequence[str]]], x: str, y: str, size: float = 1.0) -> DataFrame:
@@ -58,9 +56,9 @@ def assign(points: DataFrame, layers: dict[str, tuple[DataFrame, str, Sequence[s
     out = points.withColumn("__p", F.monotonically_increasing_id())
     for name, (polygons, geometry, columns) in layers.items():
         layer = polygons.select(F.col(geometry).alias("__g"), *(F.col(c).alias(f"{name}_{c}") for c in columns))
-        hit = points_in_polygons(out.select("__p", F.col(x).alias("__x"), F.col(y).alias("__y")), layer, "__x", "__y", "__g", size=size)
-        best = hit.groupBy("__p").agg(F.min(F.struct(*(f"{name}_{c}" for c in columns))).alias("__b")).select("__p", "__b.*")
-        out = out.join(best, "__p", "left")
+        hit = points_in_polygons(out, layer, x, y, "__g", "left", size).drop("__g")
+        first = Window.partitionBy("__p").orderBy(*(F.col(f"{name}_{c}").asc_nulls_last() for c in columns))
+        out = hit.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
     return out.drop("__p")
 
 
@@ -128,7 +126,9 @@ def nearest(points: DataFrame, targets: DataFrame, x: str, y: str, tx: str, ty:
 
 def nearest_any(points: DataFrame, targets: DataFrame, x: str, y: str, tx: str, ty: str, target_key: str, k: int = 1, start: float = 1.0, rounds: int = 12) -> DataFrame:
     """The k nearest targets without a bound: rings of growing size, for the points that have too few yet."""
-    left = points.withColumn("__row", F.monotonically_increasing_id())
+    from .relational import pinned
+
+    left = pinned(points.withColumn("__row", F.monotonically_increasing_id()))
     found: list[DataFrame] = []
     radius = start
     for _ in range(rounds):

@@ -39,13 +39,13 @@ def dissolve(df: DataFrame, by: str, geometry: str, values: Sequence[str] = (),
 
 def distance_to_layer(points: DataFrame, layer: DataFrame, x: str, y: str, geometry: str, most: float, output: str) -> DataFrame:
     """points with the distance to the nearest polygon, infinite beyond ``most``: boxes are widened by that and meet points in cells."""
-    p = points.withColumn("__id", F.monotonically_increasing_id())
     b = g.bbox(geometry)
     cell = lambda c: F.floor(c / most)
-    wide = layer.select(g.rings(geometry).alias("__r"), b.alias("__b")).withColumn("cx", F.explode(F.sequence(cell(F.col("__b.xmin") - most), cell(F.col("__b.xmax") + most)))).withColumn("cy", F.explode(F.sequence(cell(F.col("__b.ymin") - most), cell(F.col("__b.ymax") + most))))
-    met = p.select("__id", F.col(x).alias("__x"), F.col(y).alias("__y"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy")).join(wide, ["cx", "cy"])
-    least = met.groupBy("__id").agg(F.min(g.distance_to(F.col("__r"), F.col("__x"), F.col("__y"))).alias("__d"))
-    return p.join(least, "__id", "left").withColumn(output, F.when(F.col("__d") <= most, F.col("__d")).otherwise(F.lit(float("inf")))).drop("__id", "__d")
+    wide = layer.select(g.rings(geometry).alias("__r"), b.alias("__b")).withColumn("__cx", F.explode(F.sequence(cell(F.col("__b.xmin") - most), cell(F.col("__b.xmax") + most)))).withColumn("__cy", F.explode(F.sequence(cell(F.col("__b.ymin") - most), cell(F.col("__b.ymax") + most))))
+    p = points.withColumn("__id", F.monotonically_increasing_id())
+    met = p.join(wide, (cell(F.col(x)) == F.col("__cx")) & (cell(F.col(y)) == F.col("__cy")), "left").withColumn("__d", F.when(F.col("__r").isNotNull(), g.distance_to(F.col("__r"), F.col(x), F.col(y))))
+    near = met.withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy(F.col("__d").asc_nulls_last()))).filter("__k = 1")
+    return near.select(*(F.col(f"`{c}`") for c in points.columns), F.when(F.col("__d") <= most, F.col("__d")).otherwise(F.lit(float("inf"))).alias(output))
 
 
 def locale(points: DataFrame, areas: DataFrame, clusters: DataFrame, cities: DataFrame, x: str, y: str, geometry: str = "geometry", population: str = "population") -> DataFrame:
@@ -57,9 +57,11 @@ def locale(points: DataFrame, areas: DataFrame, clusters: DataFrame, cities: Dat
     most = TOWN_DISTANT * MILE
     d = distance_to_layer(points, areas, x, y, geometry, most, "__ua")
     d = distance_to_layer(d, clusters, x, y, geometry, most, "__uc")
-    d = d.withColumn("__id", F.monotonically_increasing_id())
+    from .relational import pinned
     from .spatial import points_in_polygons
 
+    d = pinned(d.withColumn("__id", F.monotonically_increasing_id()))
+
     place = d.select("__id", F.col(x).alias("__x"), F.col(y).alias("__y"))
     inside = lambda layer, name: points_in_polygons(place, layer.select(F.col(geometry).alias("__g"), F.col(population).alias("__n")), "__x", "__y", "__g", size=most).groupBy("__id").agg(F.max("__n").alias(name))
     d = d.join(inside(areas, "__area"), "__id", "left").join(inside(cities, "__city"), "__id", "left")
