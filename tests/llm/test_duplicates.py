@@ -128,3 +128,45 @@ def test_pipeline(spark):
     texts = {i: t for i, t, *_ in docs}
     untouched = [i for i in out if not brute.pii(texts[i]) and "token" not in texts[i]]
     assert untouched and all(out[i].decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i in untouched)
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_names_of_several_tasks(dice, repeats):
+    """What tasks know by themselves and what buckets find out is what all entries together say."""
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm import names
+    from lodestone.llm.words import mix
+
+    entries = [(dice.randrange(40), dice.randrange(25)) for _ in range(200)]
+    value = mix(np.arange(40, dtype=np.uint64) + np.uint64(1))
+    buckets = defaultdict(list)
+    for k in range(0, 200, 30):  # seven tasks
+        gather = names.Gather(8, repeats)
+        part = entries[k : k + 30]
+        gather.add(value[[n for n, _ in part]], np.array([r for _, r in part], np.int64))
+        got = gather.take()
+        for b, raw in zip(got.column("bucket").to_pylist(), got.column("data").to_pylist(), strict=True):
+            buckets[b].append(raw)
+    assert names.Gather(8).take() is None
+    found, earlier, heavy, total = set(), set(), {}, 0
+    for raw in buckets.values():
+        for key, of, before in (tuple(r.values()) for r in names.shared(pa.table({"data": pa.array(raw, pa.binary())}), least=9).to_pylist()):
+            if key is None:
+                counts = np.frombuffer(before, np.int64)
+                total += 0 if of else int(counts.sum())
+                heavy |= dict(zip(np.frombuffer(of, np.uint64).tolist(), counts.tolist(), strict=False)) if of else {}
+                continue
+            some = np.frombuffer(of, np.uint64).tolist()
+            found |= {(key, n) for n in some}
+            earlier |= {(key, n) for n, e in zip(some, before, strict=True) if e}
+    rows_of, count = defaultdict(set), Counter(n for n, _ in entries)
+    for n, r in entries:
+        rows_of[n].add(r)
+    shared = {n for n in rows_of if (count[n] > 1 if repeats else len(rows_of[n]) > 1)}
+    assert found == {(r, int(value[n])) for n in shared for r in rows_of[n]}
+    assert earlier == {(r, int(value[n])) for n in rows_of for r in rows_of[n] if r > min(rows_of[n])}
+    assert total == 200 and heavy == {int(value[n]): c for n, c in count.items() if c >= 9}
