@@ -31,6 +31,8 @@ from .shared import stored
 from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
 
 SHINGLE, PERCENT, BLOCK = 3, 90, 4096
+#: Clusters above a block up to which their sizes are broadcast, 16 bytes each.
+LARGE = 200_000
 SALTS = splitmix(256, 23)
 
 
@@ -274,9 +276,11 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
     near = docs.mapInArrow(parts, "bucket int, data binary").groupBy("bucket").applyInArrow(shared_parts, "a long, b long")
     clusters = components(near)
     clusters = stored(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    # sizes matter for clusters of several blocks alone; these few are told to all tasks, so that no cluster's sets meet in one
+    sizes = stored(clusters.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > block), "sizes")
+    told = F.broadcast(sizes) if sizes.count() <= LARGE else sizes
     none = F.lit((1 << 63) - 1)
-    chosen = members.filter("n > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", none)).alias("key")).join(clusters.withColumnRenamed("node", "set_id"), "set_id").join(sizes, "root")
+    chosen = members.filter("n > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", none)).alias("key")).join(clusters.withColumnRenamed("node", "set_id"), "set_id").join(told, "root", "left").fillna(1, subset=["size"])
     with_text = docs.withColumn("key", F.coalesce("doc_id", none)).join(chosen, "key").select("text", "set_id", "root", "size")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
