@@ -19,13 +19,15 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     seen = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # minima are written first: adaptive execution splits a hot node's edges only if the other side is no aggregate
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "minima")
+        large = stored(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), "edges")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         then = stored(small, "edges")
         mark = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        dropped(spark, now)
+        for old in (now, low, large, least):
+            dropped(spark, old)
         now = then
         if mark == seen:
             break

@@ -304,7 +304,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
     found = dealt.groupBy("bucket").applyInArrow(lambda t: cluster_links(t, percent), "a long, b long")
     roots = components(stored(found, "links"))
     labelled = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set_id")))
-    least = labelled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stored(labelled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
