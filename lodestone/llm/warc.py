@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import shared_path, stored
 from .words import table
 
 CRLF = "\r\n"
@@ -98,13 +98,14 @@ def write(pages: DataFrame, path: str, record_id: str = "page_id", uri: str = "u
     raw = F.coalesce(F.col(payload), F.lit(b"")) if kind == "binary" else F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
     base = pages.select(F.col(record_id).cast("long").alias("record_id"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), raw.alias("payload"))
     narrow = base.select("record_id", "uri", *digests())
-    owners = (
+    owners = stored(
         narrow.groupBy("sha256")
         .agg(F.max("record_id").alias("owner"), F.min("sha1").alias("sha1_a"), F.max("sha1").alias("sha1_b"), F.min("n").alias("n_a"), F.max("n").alias("n_b"))
         .select("sha256", "owner", F.when((F.col("sha1_a") == F.col("sha1_b")) & (F.col("n_a") == F.col("n_b")), True).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("sha256")))).alias("sound"))
         .filter("sound")
-        .drop("sound")
-    )
+        .drop("sound"),
+        "owners",
+    )  # a table, and no aggregate, beside the rows: so adaptive execution splits those of a hot digest
     response = F.col("record_id").eqNullSafe(F.col("owner"))
     http = _http_header()
     length = F.octet_length(http) + F.when(response, F.col("n")).otherwise(F.lit(0))
@@ -118,9 +119,9 @@ def write(pages: DataFrame, path: str, record_id: str = "page_id", uri: str = "u
     )
     narrow.join(owners, "sha256").select("record_id", header.alias("warc_header"), http.alias("http_header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
     none = F.lit(-(1 << 63))  # the join and the aggregate share one exchange only if both have plain keys
-    stored = base.select(F.sha2("payload", 256).alias("sha256"), F.coalesce("record_id", none).alias("slot"), "payload")
+    bodies = base.select(F.sha2("payload", 256).alias("sha256"), F.coalesce("record_id", none).alias("slot"), "payload")
     kept = owners.select("sha256", F.coalesce("owner", none).alias("slot"))
-    stored.join(kept, ["sha256", "slot"], "left_semi").groupBy("sha256", "slot").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    bodies.join(kept, ["sha256", "slot"], "left_semi").groupBy("sha256", "slot").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(spark, path)
 
 
