@@ -31,6 +31,8 @@ from .shared import stored
 from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
 
 SHINGLE, PERCENT, BLOCK = 3, 90, 4096
+#: Of the pipeline's stage; SHINGLE and PERCENT are the contract of the query alone.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Clusters above a block up to which their sizes are broadcast, 16 bytes each.
 LARGE = 200_000
 SALTS = splitmix(256, 23)
@@ -314,5 +316,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each group of linked documents that with the least doc_id stays; rows without doc_id stay."""
-    worse = join(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("__worse")).distinct()
+    worse = join(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id < doc_id").select(F.col("doc_id").alias("__worse")).distinct()
     return docs.join(worse, docs["doc_id"].cast("long") == worse["__worse"], "left_anti")

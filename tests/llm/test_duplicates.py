@@ -101,6 +101,21 @@ def test_set_join_of_corpus(frame, rows, corpus):
     assert set_join.join(frame(corpus).limit(0)).collect() == []
 
 
+def test_set_join_of_the_stage(spark, frame, rows, near_copies, dice):
+    """Five words and 80 of 100: copies between the stage's rule and the query's go."""
+    got = set_join.join(frame(near_copies), set_join.STAGE_SHINGLE, set_join.STAGE_PERCENT, block=16)
+    assert rows(got.collect()) == rows(brute.jaccard(near_copies, 5, 80))
+    docs = []
+    for i in range(0, 40, 2):
+        base = [f"w{dice.randrange(10**6)}" for _ in range(200)]
+        copy = list(base)
+        for at in (20, 70, 120, 170):  # 176 of 216 shingles of five words, 186 of 210 of three
+            copy[at] = f"x{i}"
+        docs += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+    assert all(c == i for i, _, c in brute.jaccard(docs, 3, 90))
+    assert sorted(r.doc_id for r in set_join.stage(spark, frame(docs), "").collect()) == list(range(0, 40, 2))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
