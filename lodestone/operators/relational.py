@@ -180,18 +180,26 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -> DataFrame:
-    """(node, component) by repeated minima over neighbours and jumps to the label's label; checkpointed each round."""
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
-    both = pinned(both)
-    label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
+def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+    """(node, component) with the least node of each component, by alternating stars; checkpointed each round.
+
+    Larger neighbours go to the least one, then all but the least to that: rounds grow with the logarithm of the component.
+    Raises if so many rounds aren't enough.
+    """
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    both = pinned(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x is not null").distinct())
+    now = pinned(both.filter("x > y"))
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        step = label.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("before"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        now = step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "before").checkpoint()
-        moved = now.filter("component != before").limit(1).count()
-        label = now.drop("before")
+        around = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = pinned(around.join(low, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        then = pinned(large.join(least, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).distinct())
+        moved = then.exceptAll(now).limit(1).count() or now.exceptAll(then).limit(1).count()
+        now = then
         if not moved:
             break
-    return label
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
+    roots = now.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    return both.select(F.col("x").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -125,20 +125,36 @@ def nearest(points: DataFrame, targets: DataFrame, x: str, y: str, tx: str, ty:
 
 
 def nearest_any(points: DataFrame, targets: DataFrame, x: str, y: str, tx: str, ty: str, target_key: str, k: int = 1, start: float = 1.0, rounds: int = 12) -> DataFrame:
-    """The k nearest targets without a bound: rings of growing size, for the points that have too few yet."""
+    """The k nearest targets without a bound: rings of growing size, for the points that have too few yet.
+
+    A point that has met all targets is done, however few they are; the last of the rings reaches everything. Places
+    that aren't finite have no distance.
+    """
     from .relational import pinned
 
-    left = pinned(points.withColumn("__row", F.monotonically_increasing_id()))
+    finite = lambda *names: reduce(lambda a, b: a & b, (F.abs(F.col(n).cast("double")) < float("inf") for n in names))  # noqa: E731  false for NaN, the greatest double
+    left = pinned(points.withColumn("__row", F.monotonically_increasing_id()).filter(finite(x, y)))
+    targets = targets.filter(finite(tx, ty))
+    box = lambda df, a, b: df.agg(*(f(F.col(c).cast("double")) for c in (a, b) for f in (F.min, F.max)), F.count("*")).first()
+    p, t = box(left, x, y), box(targets, tx, ty)
+    need = min(k, t[4])
+    if not p[4] or not need:
+        return nearest(left, targets, x, y, tx, ty, target_key, k, start, "__row").drop("__row")
+    reach = 1.001 * sum(max(p[i + 1], t[i + 1]) - min(p[i], t[i]) for i in (0, 2))
     found: list[DataFrame] = []
     radius = start
-    for _ in range(rounds):
-        hit = nearest(left, targets, x, y, tx, ty, target_key, k, radius, "__row")
-        full = hit.groupBy("__row").agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select("__row")
+    for n in range(rounds):
+        if n + 1 == rounds:
+            radius = max(radius, reach)
+        hit = pinned(nearest(left, targets, x, y, tx, ty, target_key, k, radius, "__row"))
+        full = hit.groupBy("__row").agg(F.count("*").alias("__n")).filter(F.col("__n") >= need).select("__row")
         found.append(hit.join(full, "__row", "left_semi"))
-        left = left.join(full, "__row", "left_anti")
+        left = pinned(left.join(full, "__row", "left_anti"))
         radius *= 4
         if not left.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"points without their nearest targets are left after {rounds} rings")
     return reduce(lambda a, b: a.unionByName(b), found).drop("__row")
 
 

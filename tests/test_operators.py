@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import uuid
 
 import pytest
@@ -76,6 +77,19 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 21)) and got[51] == 50 and got[60] == 60
 
 
+def test_components_of_shuffled_ids(spark):
+    """A path and a grid whose ids don't rise along them stay whole; too few rounds raise."""
+    d = random.Random(3)
+    path = d.sample(range(1, 201), 200)
+    side = 12
+    ids = d.sample(range(1000, 1000 + side * side), side * side)
+    grid_ = [(ids[i * side + j], ids[(i + u) * side + j + v]) for i in range(side) for j in range(side) for u, v in ((0, 1), (1, 0)) if i + u < side and j + v < side]
+    edges = spark.createDataFrame([*zip(path, path[1:], strict=False), *grid_, (5000, 5000)], "a long, b long")
+    assert dict(rows(relational.components_of(edges))) == dict.fromkeys(path, 1) | dict.fromkeys(ids, 1000) | {5000: 5000}
+    with pytest.raises(RuntimeError):
+        relational.components_of(edges, rounds=1)
+
+
 def test_identifiers():
     assert compat.identifier("a_b") == "a_b" and compat.identifier("a.b.c", dotted=True)
     for bad in ("1a", "a;b", "a b", "", "a.b"):
@@ -263,6 +277,14 @@ def test_nearest_without_bound(spark):
     assert rows(got.select("id", "target", "distance")) == [(1, "a", 1.0), (2, "b", 50.0), (3, "a", 1.0)]
 
 
+def test_nearest_with_few_or_far_targets(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 5e8, 0.0), (3, None, 0.0), (4, float("nan"), 0.0)], "id int, x double, y double")
+    t = spark.createDataFrame([("a", 1.0, 0.0), ("b", 1e9, 0.0), ("c", None, 0.0)], "k string, u double, v double")
+    got = spatial.nearest_any(p, t, "x", "y", "u", "v", "k", 3)
+    assert rows(got.select("id", "target", "distance", "rank")) == [(1, "a", 1.0, 1), (1, "b", 1e9, 2), (2, "a", 5e8 - 1, 1), (2, "b", 5e8, 2)]
+    assert spatial.nearest_any(p, t.limit(0), "x", "y", "u", "v", "k").collect() == []
+
+
 def test_grid(spark):
     df = spark.createDataFrame([(49.703498679, 11.770681595), (None, 1.0), (95.0, 1.0)], "lat double, lon double").withColumn("c", grid.point_cell("lat", "lon", 30))
     r = df.select(grid.token("c").alias("t"), grid.cell_level("c").alias("l"), grid.token(grid.parent("c", 10)).alias("p"), (grid.from_token(grid.token("c")) == F.col("c")).alias("same")).collect()
