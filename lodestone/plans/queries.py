@@ -135,6 +135,21 @@ for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     )(_join)
 
 
+# the same over whole tables; keys that are moved by three leave unmatched rows on both sides
+for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+
+    def _whole_join(s, d, how=_how):
+        a = t(s, d, "supplier").select((F.col("s_nationkey") + 3).alias("k"), "s_suppkey", F.col("s_name").alias("name"))
+        b = t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+        return relational.join(a, b, "k", how)
+
+    query(
+        f"join_{_how}_whole",
+        f"""SELECT coalesce(a.k, b.k) AS k, s_suppkey, a.name AS name_left, b.name AS name_right FROM (SELECT s_nationkey + 3 AS k, s_suppkey, s_name AS name FROM supplier) a
+        {_kind} (SELECT n_nationkey AS k, n_name AS name FROM nation) b ON a.k = b.k""",
+    )(_whole_join)
+
+
 @query("join_null_safe", "SELECT coalesce(a.k, b.k) AS k, n, s FROM (SELECT nullif(c_nationkey % 5, 0) AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT nullif(s_nationkey % 5, 0) AS k, count(*) AS s FROM supplier GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
 def _(s, d):
     a = t(s, d, "customer").groupBy(F.expr("nullif(c_nationkey % 5, 0)").alias("k")).agg(F.count("*").alias("n"))
@@ -609,6 +624,15 @@ def _(s, d):
     return c.select("geoid", "slug", geoid.from_slug("slug").alias("back"))
 
 
+SLUGS = "CASE substr(geoid, 1, 2) WHEN '01' THEN 'al' WHEN '02' THEN 'ak' WHEN '04' THEN 'az' WHEN '05' THEN 'ar' WHEN '06' THEN 'ca' WHEN '08' THEN 'co' WHEN '09' THEN 'ct' WHEN '10' THEN 'de' WHEN '11' THEN 'dc' WHEN '12' THEN 'fl' WHEN '13' THEN 'ga' WHEN '15' THEN 'hi' WHEN '16' THEN 'id' WHEN '17' THEN 'il' WHEN '18' THEN 'in' WHEN '19' THEN 'ia' WHEN '20' THEN 'ks' WHEN '21' THEN 'ky' WHEN '22' THEN 'la' WHEN '23' THEN 'me' WHEN '24' THEN 'md' END"
+
+
+@query("geoid_slugs_whole", f"SELECT geoid, coalesce(st, substr(geoid, 1, 2)) || '-county-' || substr(geoid, 3, 3) AS slug, CASE WHEN st IS NOT NULL THEN geoid END AS back FROM (SELECT geoid, {SLUGS} AS st FROM ({CODES}))")
+def _(s, d):
+    c = coded(s, d).withColumn("slug", geoid.slug("geoid", "county"))
+    return c.select("geoid", "slug", geoid.from_slug("slug").alias("back"))
+
+
 @query("text_functions", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS squeezed, regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS plain, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS n FROM documents")
 def _(s, d):
     return t(s, d, "documents").select("doc_id", text.squeeze("text").alias("squeezed"), text.alphanumeric("text").alias("plain")).withColumn("n", F.length("plain").cast("long"))
@@ -630,6 +654,12 @@ def _(s, d):
     return p.select("p_partkey", "n.title", "n.level", "n.parent_code")
 
 
+@query("naics_codes_whole", "SELECT p_partkey, CASE substr(c, 1, 2) WHEN '11' THEN 'Agriculture, Forestry, Fishing and Hunting' WHEN '21' THEN 'Mining, Quarrying, and Oil and Gas Extraction' WHEN '22' THEN 'Utilities' WHEN '23' THEN 'Construction' WHEN '31' THEN 'Manufacturing' WHEN '32' THEN 'Manufacturing' WHEN '33' THEN 'Manufacturing' WHEN '42' THEN 'Wholesale Trade' WHEN '44' THEN 'Retail Trade' WHEN '45' THEN 'Retail Trade' WHEN '48' THEN 'Transportation and Warehousing' WHEN '49' THEN 'Transportation and Warehousing' WHEN '51' THEN 'Information' WHEN '61' THEN 'Educational Services' WHEN '71' THEN 'Arts, Entertainment, and Recreation' WHEN '81' THEN 'Other Services (except Public Administration)' ELSE 'Unknown Sector' END AS title, CAST(length(c) AS INTEGER) AS level, CASE WHEN length(c) > 2 THEN substr(c, 1, length(c) - 1) END AS parent_code FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) || '1' AS c FROM part)")
+def _(s, d):
+    p = t(s, d, "part").withColumn("n", codes.naics(F.concat(F.col("p_size").cast("string"), F.lit("1"))))
+    return p.select("p_partkey", "n.title", "n.level", "n.parent_code")
+
+
 @query("urbanicity", "SELECT o_orderkey, CASE WHEN p >= 250000 THEN CASE WHEN m <= 5 THEN 'city_large' ELSE 'suburb_large' END WHEN p >= 100000 THEN CASE WHEN m <= 5 THEN 'city_midsize' ELSE 'suburb_midsize' END WHEN p >= 25000 THEN CASE WHEN m <= 5 THEN 'city_small' ELSE 'suburb_small' END WHEN p >= 2500 THEN CASE WHEN m <= 5 THEN 'town_fringe' WHEN m <= 25 THEN 'town_distant' ELSE 'town_remote' END ELSE CASE WHEN m <= 5 THEN 'rural_fringe' WHEN m <= 25 THEN 'rural_distant' ELSE 'rural_remote' END END AS locale FROM (SELECT o_orderkey, o_totalprice AS p, o_orderkey % 40 AS m FROM orders)")
 def _(s, d):
     return t(s, d, "orders").select("o_orderkey", codes.urbanicity("o_totalprice", F.col("o_orderkey") % 40).alias("locale"))
