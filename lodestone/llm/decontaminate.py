@@ -134,8 +134,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int =
     small_batches(docs.sparkSession)
     _, held = _items(benchmark, broadcast_bytes)
     if held is None:
-        bad = decontaminate(docs, benchmark, gram, window, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__contaminated")).distinct()
-        return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__contaminated"]), "left_anti")
+        # the text alone decides, so its hash stands for the row: ids may be null or repeated
+        own = F.xxhash64(docs["text"].cast("string"))
+        bad = decontaminate(docs.select(own.alias("doc_id"), "text"), benchmark, gram, window, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__contaminated")).distinct()
+        return docs.join(bad, own == bad["__contaminated"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(*held.value, gram, window)

@@ -128,6 +128,15 @@ def test_decontamination(spark, frame, corpus, rows, most):
     assert decontaminate.decontaminate(frame(docs).limit(0), frame(items, "item_id long, text string"), broadcast_bytes=most).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_clean_judges_rows_by_themselves(frame, rows, most):
+    """A contaminated row takes none with it that shares its id, or also has none; both ways give the same rows."""
+    passage = " ".join(f"item{k}" for k in range(20))
+    docs = [(None, f"so {passage} on"), (None, "clean words without id"), (None, None), (7, passage), (7, "clean words with the same id"), (8, passage), (9, "")]
+    got = decontaminate.clean(frame(docs), frame([(1, passage)], "item_id long, text string"), broadcast_bytes=most)
+    assert rows(got.collect()) == rows([docs[1], docs[2], docs[4], docs[6]])
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls in any column, repeated rows, empty texts, and columns whose names might clash."""
     from lodestone.llm import bpe, set_join
