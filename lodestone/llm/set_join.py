@@ -2,7 +2,8 @@
 
 Equal sets are one set under a digest. Two different sets whose Jaccard similarity reaches the threshold differ in at
 most (a + b) * (1 - t) / (1 + t) shingles. Shingles are dealt by hash into one part more than that, so at least two
-parts are equal in both: sets that share the hash of a part may link, all others can't. Sizes fall into classes, and a
+parts are equal in both: sets that share the hash of a part may link, all others can't. A set deals out only its fullest
+parts, as many as may differ and one more, and those as full as the last of these. Sizes fall into classes, and a
 set near the upper end of its class is dealt for the next class too, so that both sets of a pair are dealt alike. Sets
 that share parts, directly or through others, form a cluster; a set's shingles go to its cluster once.
 
@@ -70,14 +71,16 @@ def classes(percent: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray,
         high = max(low, low * 7 // 5)
         lows.append(low)
         highs.append(high)
-        parts.append(2 * high * a // b + 2 if 2 * high * a // b else 0)
+        k = 2 * high * a // b + 2
+        k += int(3 * k * np.exp(-high / k) * (1 + high / k))  # in place of those with no shingle or one
+        parts.append(k if 2 * high * a // b else 0)
         low = high + 1
     return np.array(lows), np.array(highs), np.array(parts)
 
 
 def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the parts of each set, and the index of the set."""
-    lows, _, parts = classes(percent)
+    lows, highs, parts = classes(percent)
     own = np.searchsorted(lows, s.n, "right") - 1
     upper = own + 1
     near = 100 * s.n >= percent * lows[np.minimum(upper, len(lows) - 1)]
@@ -102,8 +105,11 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(sets)), k)
     number = np.arange(base[-1]) - base[owner]
     name = mix(total + mix(number.astype(U) + (kind[owner].astype(U) << U(40)) + (count.astype(U) << U(48))))
-    empty = np.bincount(owner[count == 0], minlength=len(sets))
-    keep = (count > 0) | (empty[owner] >= 2)  # of two equal parts one at least has shingles, unless two are empty
+    size = s.n[sets]
+    differ = (size + np.minimum(highs[kind], 100 * size // percent)) * (100 - percent) // (100 + percent)
+    # of the fullest parts, one more than may differ, one is equal; the other set deals it too, or has such a fuller one
+    least = count[np.lexsort((-count, owner))][base[:-1] + differ]
+    keep = count >= least[owner]
     return name[keep], sets[owner[keep]]
 
 
