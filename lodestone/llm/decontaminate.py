@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import ALNUM_LOWER, U, Words, cover, pieces, rolling, runs, small_batches, span, table, texts_of
+from .words import ALNUM_LOWER, U, Words, cover, fixed, pieces, runs, small_batches, spans, table, texts_of
 
 GRAM, WINDOW = 5, 10
 BROADCAST_BYTES = 16 << 20
@@ -37,8 +37,7 @@ def winnow(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray
         return start, np.zeros(0, U)
     n = len(words.hash)
     h = np.full(n, ~U(0), U)
-    at = np.arange(n - gram + 1)
-    h[: n - gram + 1] = span(rolling(words.hash), at, at + gram)
+    h[: n - gram + 1] = fixed(words.hash, gram)
     best, where = h[start], start.copy()
     for j in range(1, window - gram + 1):
         other = h[start + j]
@@ -60,11 +59,10 @@ class Items:
         order = np.argsort(prints, kind="stable")
         self.prints, self.at = prints[order], at[order]
         self.item_of = np.searchsorted(w.first, self.at, "right") - 1
-        prefix = rolling(w.hash)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i in np.flatnonzero((w.counts > 0) & (w.counts < window)):
-            a, b = w.first[i : i + 1], w.first[i : i + 1] + w.counts[i]
-            self.short[int(w.counts[i])][int(span(prefix, a, b)[0])].append(int(i))
+            a = w.first[i : i + 1]
+            self.short[int(w.counts[i])][int(spans(w.hash, a, a + w.counts[i])[0])].append(int(i))
 
     def hits(self, w: Words) -> dict[int, list[tuple[int, int, int]]]:
         """For each text of w that has some: (item, start, end) of common runs, in words of the batch."""
@@ -90,7 +88,7 @@ class Items:
             for x in np.flatnonzero(np.isin(h, np.fromiter(known, U, len(known)))):
                 s = int(start[x])
                 d = int(np.searchsorted(w.first, s, "right")) - 1
-                out[d] += [(i, s, s + m) for i in known[int(h[x])]]
+                out[d] += [(i, s, s + m) for i in known[int(h[x])] if (w.hash[s : s + m] == self.hash[self.first[i] : self.first[i] + m]).all()]
         return out
 
 

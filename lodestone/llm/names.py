@@ -4,6 +4,9 @@ A task that holds names with the rows they come from knows much by itself: if tw
 shared, and all of them but the one of the least row key have it from an earlier row. Only this least row's entry has to
 meet the entries of other tasks, in the bucket of the name. What is known already goes straight to the bucket of its row
 key. A name that a third of all rows have thus costs its bucket one entry a task, however many rows there are.
+
+What a name decides by itself rests on 128 bits: 64 of its own, which deal it to a bucket, and 64 to check, without which
+names only point to candidates.
 """
 
 from __future__ import annotations
@@ -24,25 +27,33 @@ BLOB = "bucket int, data binary"
 FOUND = "key long, names binary, earlier binary"
 
 
-def _pack(kind: int, names: np.ndarray, keys: np.ndarray, many: np.ndarray | None) -> bytes:
-    rest = np.diff(keys, prepend=0).tobytes() + (many.tobytes() if many is not None else b"")
+def _pack(kind: int, names: np.ndarray, keys: np.ndarray, many: np.ndarray | None, checks: np.ndarray | None = None) -> bytes:
+    rest = np.diff(keys, prepend=0).tobytes() + (many.tobytes() + checks.tobytes() if many is not None else b"")
     return np.array([kind, len(names)], np.int64).tobytes() + names.tobytes() + zstandard.compress(rest, 1)
 
 
-def _unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     kind, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     rest = zstandard.decompress(raw[16 + 8 * n :])
-    return kind, np.frombuffer(raw, U, n, 16), np.cumsum(np.frombuffer(rest, np.int64, n)), np.frombuffer(rest, np.uint32, -1, 8 * n)
+    more = n if len(rest) > 8 * n else 0
+    return kind, np.frombuffer(raw, U, n, 16), np.cumsum(np.frombuffer(rest, np.int64, n)), np.frombuffer(rest, np.uint32, more, 8 * n), np.frombuffer(rest, U, more, len(rest) - 8 * more)
+
+
+def _heads(names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where the next name begins."""
+    if not len(names):
+        return np.zeros(0, np.int64)
+    return np.append(0, 1 + np.flatnonzero((names[1:] != names[:-1]) | (checks[1:] != checks[:-1])))
 
 
-def deal(names: np.ndarray, keys: np.ndarray, n: int, repeats: bool = False) -> pa.RecordBatch:
+def deal(names: np.ndarray, keys: np.ndarray, checks: np.ndarray, n: int, repeats: bool = False) -> pa.RecordBatch:
     """Blobs of a task's entries: the least row's of each name by name; others by row.
 
     With ``repeats`` a name that one row has twice is shared, too.
     """
-    order = np.lexsort((keys, names))
-    names, keys = names[order], keys[order]
-    head = np.flatnonzero(np.diff(names, prepend=~names[:1]))
+    order = np.lexsort((keys, checks, names))
+    names, keys, checks = names[order], keys[order], checks[order]
+    head = _heads(names, checks)
     count = np.diff(np.append(head, len(names)))
     first = np.repeat(keys[head], count)
     other = keys != first
@@ -52,7 +63,7 @@ def deal(names: np.ndarray, keys: np.ndarray, n: int, repeats: bool = False) ->
     for b, of in by_bucket(names[head], n):
         of = of[np.argsort(keys[head][of], kind="stable")]
         where.append(b)
-        blobs.append(_pack(0, names[head][of], keys[head][of], many[of]))
+        blobs.append(_pack(0, names[head][of], keys[head][of], many[of], checks[head][of]))
     rest_names, rest_keys = names[other], keys[other]
     for b, of in by_bucket(mix(rest_keys.view(U)), n):
         of = of[np.argsort(rest_keys[of], kind="stable")]
@@ -80,13 +91,13 @@ def shared(table: pa.Table, only_earlier: bool = False, least: int = 0) -> pa.Ta
     With ``least`` two more rows without a key: names of at least so many entries, with these numbers, and the sum of all entries.
     """
     parts = [_unpack(x) for x in table.column("data").to_pylist()]
-    empty = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
-    names, keys, many = (np.concatenate(x) for x in zip(*([p[1:] for p in parts if p[0] == 0] or empty), strict=True))
-    known_names, known_keys, _ = (np.concatenate(x) for x in zip(*([p[1:] for p in parts if p[0] == 1] or empty), strict=True))
-    order = np.argsort(names, kind="stable")
-    names, keys, many = names[order], keys[order], many[order]
+    empty = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, U))]
+    names, keys, many, checks = (np.concatenate(x) for x in zip(*([p[1:] for p in parts if p[0] == 0] or empty), strict=True))
+    known_names, known_keys, _, _ = (np.concatenate(x) for x in zip(*([p[1:] for p in parts if p[0] == 1] or empty), strict=True))
+    order = np.lexsort((checks, names))
+    names, keys, many, checks = names[order], keys[order], many[order], checks[order]
     if len(names):
-        head = np.flatnonzero(np.diff(names, prepend=~names[:1]))
+        head = _heads(names, checks)
         n = np.diff(np.append(head, len(names)))
         low = np.repeat(np.minimum.reduceat(keys, head), n)
         entries = np.add.reduceat((many >> np.uint32(1)).astype(np.int64), head)
@@ -124,8 +135,8 @@ class Gather:
     def __init__(self, n: int, repeats: bool = False) -> None:
         self.n, self.repeats, self.held, self.size = n, repeats, [], 0
 
-    def add(self, names: np.ndarray, keys: np.ndarray) -> None:
-        self.held.append((names, keys))
+    def add(self, names: np.ndarray, keys: np.ndarray, checks: np.ndarray | None = None) -> None:
+        self.held.append((names, keys, np.zeros(len(names), U) if checks is None else checks))
         self.size += len(names)
 
     def full(self) -> bool:
@@ -134,6 +145,6 @@ class Gather:
     def take(self) -> pa.RecordBatch | None:
         if not self.size:
             return None
-        names, keys = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        names, keys, checks = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        return deal(names, keys, self.n, self.repeats)
+        return deal(names, keys, checks, self.n, self.repeats)

@@ -1,6 +1,6 @@
 """Exact similarity join of word-shingle sets, with set-relation skipping.
 
-Equal sets are one set under a digest. Two different sets whose Jaccard similarity reaches the threshold differ in at
+Equal sets are one set under a digest of 128 bits; its first half names candidates. Two different sets whose Jaccard similarity reaches the threshold differ in at
 most (a + b) * (1 - t) / (1 + t) shingles. Shingles are dealt by hash into one part more than that, so at least two
 parts are equal in both: sets that share the hash of a part may link, all others can't. A set deals out only its fullest
 parts, as many as may differ and one more, and those as full as the last of these. Sizes fall into classes, and a
@@ -10,7 +10,8 @@ that share parts, directly or through others, form a cluster; a set's shingles g
 Within a cluster, sets are numbered by size, and inverted lists hold a token's sets by number, so that whole blocks of
 sets too small or too large are skipped by position. Rare tokens come first in each set, and only prefixes are probed.
 A set's overlaps with all others are derived from those of the most similar set that is already answered: only the
-lists of the tokens in which the two differ are read. Sets that are one component already aren't compared.
+lists of the tokens in which the two differ are read. Every cluster of two sets or more is answered that way. Sets that
+are one component already aren't compared.
 
 A task joins its own sets that share a part before it deals parts out, so a part that very many sets have costs its bucket
 one entry a task. Clusters above ``block`` sets are dealt to pairs of blocks, so no task holds more than two blocks. Links come out as a
@@ -19,6 +20,7 @@ spanning forest, never as all pairs. Null and wordless texts have empty sets and
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from .components import components
 from .names import FLUSH
 from .shared import stored
-from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
+from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, runs, small_batches, spans, splitmix, table, texts_of
 
 SHINGLE, PERCENT, BLOCK = 3, 90, 4096
 #: Of the pipeline's stage; SHINGLE and PERCENT are the contract of the query alone.
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Clusters above a block up to which their sizes are broadcast, 16 bytes each.
 LARGE = 200_000
+#: Answered sets that others are derived from, a cluster; what is like none of them is read from whole lists.
+ANSWERED = 32
 SALTS = splitmix(256, 23)
 
 
@@ -44,14 +48,14 @@ class Sets:
 
     def __init__(self, texts: list[str | None], k: int) -> None:
         w = Words(texts, SPACED_LOWER)
-        prefix = rolling(w.hash)
         start = runs(w.first, w.counts, k)
         doc = np.searchsorted(w.first, start, "right") - 1
         few = np.flatnonzero((w.counts > 0) & (w.counts < k))
-        value = np.concatenate([span(prefix, start, start + k), span(prefix, w.first[few], w.first[few + 1])])
+        begin, end = np.concatenate([start, w.first[few]]), np.concatenate([start + k, w.first[few + 1]])
+        value = spans(w.hash, begin, end)
         doc = np.concatenate([doc, few])
         order = np.lexsort((value, doc))
-        value, doc = value[order], doc[order]
+        value, doc, second = value[order], doc[order], spans(w.check, begin, end, 1)[order]
         new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
         self.value, doc = value[new], doc[new]
@@ -60,6 +64,14 @@ class Sets:
         # value by value, the digest of a set: its members' sum and count, mixed
         total = np.concatenate([[U(0)], np.cumsum(mix(self.value ^ SALTS[0]))])
         self.digest = mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(U) * SALTS[1]).view(np.int64)
+        # 64 bits more, of other hashes of words and shingles: both together name a set
+        total = np.concatenate([[U(0)], np.cumsum(mix(second[new] ^ SALTS[200]))])
+        self.check = mix(total[self.first[1:]] - total[self.first[:-1]])
+
+    def names(self) -> list[bytes]:
+        """The sets' names, of 128 bits."""
+        raw = np.stack([self.digest.view(U), self.check], axis=1).tobytes()
+        return [raw[16 * i : 16 * i + 16] for i in range(len(self.n))]
 
 
 def classes(percent: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,19 +164,12 @@ class Forest:
         return x != y
 
 
-def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct sets; with sides, only of links between the two."""
+def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, seen: Counter | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct sets; with sides, only of links between the two.
+
+    ``seen`` counts the sets whose overlaps were read from whole lists and those that were derived from another set's.
+    """
     m = len(sets)
-    if m <= 6:
-        out, forest = [], Forest(m)
-        for i in range(m):
-            for j in range(i):
-                if (sides is None or sides[i] != sides[j]) and forest.root(i) != forest.root(j):
-                    o = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o):
-                        forest.link(i, j)
-                        out.append((i, j))
-        return out
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order])
     side = None if sides is None else sides[order]
@@ -204,23 +209,23 @@ def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None)
         here = forest.root(x)
         if not len(y) or len(y) < 64 and all(forest.root(int(j)) == here for j in y):
             continue
-        if len(y) <= 2:
-            overlap = np.array([len(np.intersect1d(mine, token[first[j] : first[j + 1]], assume_unique=True)) for j in y])
+        best = min(answered, key=lambda r: size[r[0]] - 2 * r[1][x], default=None)
+        differ = size[x] + size[best[0]] - 2 * best[1][x] if best is not None else size[x]
+        derived = best is not None and differ < size[x]
+        if derived:
+            other = token[first[best[0]] : first[best[0] + 1]]
+            known = best[1].copy()
+            for t, sign in ((np.setdiff1d(mine, other, assume_unique=True), 1), (np.setdiff1d(other, mine, assume_unique=True), -1)):
+                e, _ = slices(key, t, 0, m)
+                known += sign * np.bincount(key[e] % m, minlength=m)
         else:
-            best = min(answered, key=lambda r: size[r[0]] - 2 * r[1][x], default=None)
-            differ = size[x] + size[best[0]] - 2 * best[1][x] if best is not None else size[x]
-            if best is not None and differ < size[x]:
-                other = token[first[best[0]] : first[best[0] + 1]]
-                known = best[1].copy()
-                for t, sign in ((np.setdiff1d(mine, other, assume_unique=True), 1), (np.setdiff1d(other, mine, assume_unique=True), -1)):
-                    e, _ = slices(key, t, 0, m)
-                    known += sign * np.bincount(key[e] % m, minlength=m)
-            else:
-                e, _ = slices(key, mine, 0, m)
-                known = np.bincount(key[e] % m, minlength=m)
-            if differ > 0.1 * size[x] and len(answered) < 32 or best is None:
-                answered.append((x, known))
-            overlap = known[y]
+            e, _ = slices(key, mine, 0, m)
+            known = np.bincount(key[e] % m, minlength=m)
+        if seen is not None:
+            seen["derived" if derived else "read"] += 1
+        if best is None or differ > 0.1 * size[x] and len(answered) < ANSWERED:
+            answered.append((x, known))
+        overlap = known[y]
         for j in y[100 * overlap >= percent * (size[x] + size[y] - overlap)]:
             if forest.link(x, int(j)):
                 out.append((int(order[x]), int(order[j])))
@@ -229,18 +234,17 @@ def links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None)
 
 def cluster_links(t: pa.Table, percent: int) -> pa.Table:
     """Links within each cluster, or pair of blocks, of a task."""
-    group, block, ids = (t.column(c).to_numpy() for c in ("part", "block", "set_id"))
-    data = t.column("data")
-    out: list[np.ndarray] = []
+    group, block = (t.column(c).to_numpy() for c in ("part", "block"))
+    ids, data = t.column("full").to_pylist(), t.column("data")
+    out: list[tuple[bytes, bytes]] = []
     order = np.argsort(group, kind="stable")
     for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(some) > 1:
             sides = block[some]
             mixed = len(np.unique(sides)) > 1
             found = links([np.frombuffer(data[int(i)].as_buffer(), U) for i in some], percent, sides if mixed else None)
-            out += [ids[some[list(p)]] for p in found]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            out += [(ids[some[i]], ids[some[j]]) for i, j in found]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -254,7 +258,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
         for b in batches:
             for ids, texts in pieces(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 s = Sets(texts, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.digest), pa.array(s.n, pa.int64())], names=["doc_id", "set_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.digest), pa.array(s.names(), pa.binary()), pa.array(s.n, pa.int64())], names=["doc_id", "set_id", "full", "n"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -280,7 +284,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
         if held:
             yield dealt()
 
-    members = stored(docs.mapInArrow(digests, "doc_id long, set_id long, n long"), "sets")
+    members = stored(docs.mapInArrow(digests, "doc_id long, set_id long, full binary, n long"), "sets")
     near = docs.mapInArrow(parts, "bucket int, data binary").groupBy("bucket").applyInArrow(shared_parts, "a long, b long")
     clusters = components(near)
     clusters = stored(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()), "clusters")
@@ -288,30 +292,30 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
     sizes = stored(clusters.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > block), "sizes")
     told = F.broadcast(sizes) if sizes.count() <= LARGE else sizes
     none = F.lit((1 << 63) - 1)
-    chosen = members.filter("n > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", none)).alias("key")).join(clusters.withColumnRenamed("node", "set_id"), "set_id").join(told, "root", "left").fillna(1, subset=["size"])
-    with_text = docs.withColumn("key", F.coalesce("doc_id", none)).join(chosen, "key").select("text", "set_id", "root", "size")
+    chosen = members.filter("n > 0").groupBy("set_id", "full").agg(F.min(F.coalesce("doc_id", none)).alias("key")).join(clusters.withColumnRenamed("node", "set_id"), "set_id").join(told, "root", "left").fillna(1, subset=["size"])
+    with_text = docs.withColumn("key", F.coalesce("doc_id", none)).join(chosen, "key").select("text", "full", "root", "size")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for ids, texts in pieces(b.column("set_id").to_pylist(), b.column("text").to_pylist()):
+            for wanted, texts in pieces(b.column("full").to_pylist(), b.column("text").to_pylist()):
                 s = Sets(texts, shingle)
-                raw, rest = [s.value[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)], b.slice(at, len(ids))
-                at += len(ids)
-                same = pa.array(s.digest == np.array(ids, np.int64))
-                out = pa.RecordBatch.from_arrays([rest.column("set_id"), rest.column("root"), rest.column("size"), pa.array(raw, pa.binary())], names=["set_id", "root", "size", "data"])
+                raw, rest = [s.value[i:j].tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)], b.slice(at, len(wanted))
+                at += len(wanted)
+                same = pa.array([x == y for x, y in zip(wanted, s.names(), strict=True)], pa.bool_())
+                out = pa.RecordBatch.from_arrays([rest.column("full"), rest.column("root"), rest.column("size"), pa.array(raw, pa.binary())], names=["full", "root", "size", "data"])
                 yield out.filter(same)
 
-    sets = with_text.mapInArrow(contents, "set_id long, root long, size long, data binary")
+    sets = with_text.mapInArrow(contents, "full binary, root long, size long, data binary")
     if members.filter("doc_id is null").limit(1).count():  # several rows share the key then
-        sets = sets.dropDuplicates(["set_id"])
+        sets = sets.dropDuplicates(["full"])
     blocks = F.ceil(F.col("size") / block)
-    mine = F.pmod(F.xxhash64("set_id"), blocks)
+    mine = F.pmod(F.xxhash64("full"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.xxhash64("root", F.least(mine, other), F.greatest(mine, other)).alias("part")))
-    dealt = sets.select("set_id", "data", mine.alias("block"), F.explode(pairs).alias("p")).select("set_id", "data", "block", F.col("p.part").alias("part")).withColumn("bucket", F.pmod("part", F.lit(4 * n)))
-    found = dealt.groupBy("bucket").applyInArrow(lambda t: cluster_links(t, percent), "a long, b long")
+    dealt = sets.select("full", "data", mine.alias("block"), F.explode(pairs).alias("p")).select("full", "data", "block", F.col("p.part").alias("part")).withColumn("bucket", F.pmod("part", F.lit(4 * n)))
+    found = dealt.groupBy("bucket").applyInArrow(lambda t: cluster_links(t, percent), "a binary, b binary")
     roots = components(stored(found, "links"))
-    labelled = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set_id")))
+    labelled = members.join(roots.withColumnRenamed("node", "full"), "full", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "full")))
     least = stored(labelled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -2,7 +2,7 @@
 
 A text's words are symbols. In each round the alphabet is split in two by a bit of each symbol's name, and each
 left symbol with a right one behind it becomes a new symbol; from the third round on, runs of one symbol become
-one first. A name is a 64-bit hash of what it stands for, so all executors give equal content the same name without
+one first. A name is a hash of what it stands for, 64 bits and 64 to check, so all executors give equal content the same name without
 asking each other, and Spark's rounds only have to find which names are shared, and by which first document.
 Whether two symbols join depends on these two alone. Equal word sequences therefore get equal symbols inside, but
 for a margin of three words at each end after two rounds.
@@ -11,7 +11,8 @@ Round one: each window of words takes as its anchor the symbol of the second rou
 least hash among those the window holds; equal windows have equal anchors. Anchors and the longer symbols of high
 rounds are named, and Spark finds the names that several documents share. A long symbol that an earlier document
 has settles all windows within it. Round two: windows that are not settled but whose anchor is shared are named
-themselves. What is left has no equal anywhere.
+themselves. What is left has no equal anywhere. A long symbol, a window and a whole text remove words only if all 128 bits
+of their names are equal.
 
 Names travel packed and are aggregated first: see ``names``. Null text has no words; rows without doc_id neither remove nor lose words.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .names import BLOB, FOUND, Gather, shared
 from .shared import shared_path
-from .words import SPACED, U, Words, buckets, cover, mix, pieces, rolling, runs, small_batches, span, splitmix, table, texts_of
+from .words import SPACED, U, Words, buckets, cover, joined, mix, pieces, runs, small_batches, spans, splitmix, strong, table, texts_of
 
 WINDOW, MARGIN = 13, 3
 #: Rounds whose symbols are looked up as long repeats.
@@ -39,10 +40,13 @@ SALTS = splitmix(64, 11)
 
 
 class Parse:
-    """Symbols of a batch of texts: name, first word, word after the last, and the text they are in."""
+    """Symbols of a batch of texts: name, first word, word after the last, and the text they are in.
+
+    The name alone decides what is joined; ``check`` names the same content by further 64 bits.
+    """
 
     def __init__(self, words: Words) -> None:
-        self.name = words.hash
+        self.name, self.check = words.hash, words.check
         self.start = np.arange(len(words.hash))
         self.end = self.start + 1
         self.doc = words.doc_of()
@@ -56,7 +60,9 @@ class Parse:
             head[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1])
             at = np.flatnonzero(head)
             n = np.diff(np.append(at, len(self.name)))
-            self._take(at, np.where(n > 1, mix(self.name[at] * U(0x9FB21C651E98DF25) + n.astype(U)), self.name[at]), self.end[at + n - 1])
+            many = n > 1
+            name, check = (np.where(many, mix(x[at] * U(0x9FB21C651E98DF25) + n.astype(U)), x[at]) for x in (self.name, self.check))
+            self._take(at, name, check, self.end[at + n - 1])
         right = (mix(self.name ^ SALTS[r]) & U(1)).astype(bool)
         join = np.zeros(len(self.name), bool)
         join[:-1] = ~right[:-1] & right[1:] & (self.doc[1:] == self.doc[:-1])
@@ -64,14 +70,15 @@ class Parse:
         head[1:] = ~join[:-1]
         at = np.flatnonzero(head)
         pair = join[at]
-        name, end = self.name[at], self.end[at]
+        name, check, end = self.name[at], self.check[at], self.end[at]
         two = at[pair]
-        name[pair] = mix(self.name[two] * U(0xD6E8FEB86659FD93) + mix(self.name[two + 1] + SALTS[r]))
+        name[pair] = joined(self.name[two] + SALTS[r], self.name[two + 1])
+        check[pair] = joined(self.check[two] + SALTS[32 + r], self.check[two + 1])
         end[pair] = self.end[two + 1]
-        self._take(at, name, end)
+        self._take(at, name, check, end)
 
-    def _take(self, at: np.ndarray, name: np.ndarray, end: np.ndarray) -> None:
-        self.name, self.start, self.end, self.doc = name, self.start[at], end, self.doc[at]
+    def _take(self, at: np.ndarray, name: np.ndarray, check: np.ndarray, end: np.ndarray) -> None:
+        self.name, self.check, self.start, self.end, self.doc = name, check, self.start[at], end, self.doc[at]
 
 
 class Plan:
@@ -84,23 +91,24 @@ class Plan:
         p = Parse(w)
         p.advance()
         p.advance()
-        self._anchors(p, rolling(w.hash))
+        self._anchors(p)
         long = []
         while p.round < LONG[-1] and len(self.at):
             p.advance()
             if p.round in LONG:
                 keep = p.end - p.start >= window
-                long.append((p.name[keep] ^ SALTS[40], p.start[keep], p.end[keep], p.doc[keep]))
+                long.append((p.name[keep] ^ SALTS[30], p.start[keep], p.end[keep], p.doc[keep], p.check[keep]))
         whole = np.flatnonzero(w.counts >= window)  # what further rounds would end in: one symbol for each text
         a, b = w.first[whole], w.first[whole + 1]
-        long.append((span(self.prefix, a, b) ^ SALTS[41], a, b, whole))
+        name = np.array([strong(b" ".join(w.of(d))) for d in whole], U).reshape(-1, 2)
+        long.append((name[:, 0] ^ SALTS[31], a, b, whole, name[:, 1]))
         self.long = [np.concatenate(x) for x in zip(*long, strict=True)]
 
-    def _anchors(self, p: Parse, prefix: np.ndarray) -> None:
+    def _anchors(self, p: Parse) -> None:
         w, n = self.words, len(self.words.hash)
         inside = (p.start - MARGIN >= w.first[p.doc]) & (p.end + MARGIN <= w.first[p.doc + 1])
         start, end = p.start[inside], p.end[inside]
-        self.named = span(prefix, start - MARGIN, end + MARGIN)
+        self.named = spans(w.hash, start - MARGIN, end + MARGIN)
         after = np.searchsorted(start, np.arange(n + 1))  # the first symbol that starts at a word or later
         best = np.full(len(self.at), ~U(0), U)
         which = np.full(len(self.at), -1)
@@ -118,11 +126,11 @@ class Plan:
         self.anchor = which
         self.used = np.unique(which)
         self.anchor_doc = np.searchsorted(w.first, start, "right") - 1
-        self.prefix = prefix
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names to look up, and the text of each."""
-        return np.concatenate([self.named[self.used], self.long[0]]), np.concatenate([self.anchor_doc[self.used], self.long[3]])
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names to look up, the text of each, and what checks those of long symbols; anchors only point to candidates."""
+        named = self.named[self.used]
+        return np.concatenate([named, self.long[0]]), np.concatenate([self.anchor_doc[self.used], self.long[3]]), np.concatenate([np.zeros(len(named), U), self.long[4]])
 
     def windows(self, shared: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flags of words in settled windows, and the windows left to look up; the flags are of names()."""
@@ -182,8 +190,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for ids, texts, _ in _texts(b):
                 some = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
                 plan = Plan([t for _, t in some], window)
-                names, of = plan.names()
-                gather.add(names, np.array([i for i, _ in some], np.int64)[of])
+                names, of, checks = plan.names()
+                gather.add(names, np.array([i for i, _ in some], np.int64)[of], checks)
                 if gather.full():
                     yield gather.take()
         if (last := gather.take()) is not None:
@@ -207,7 +215,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if not hit:
                     continue
                 plan = Plan([texts[k - at] for k in hit], window)
-                asked, of = plan.names()
+                asked, of, _ = plan.names()
                 keys = mix(asked + mix(of.astype(U) + U(1)))
                 got = [np.frombuffer(b"".join(names[k]), U) for k in hit]
                 known = mix(np.concatenate(got) + np.repeat(mix(np.arange(len(hit), dtype=U) + U(1)), [len(g) for g in got]))
@@ -219,9 +227,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 settled, left = plan.windows(found, found & before[j])
                 doc = np.searchsorted(plan.words.first, left, "right") - 1
                 numbers = np.array([ids[k - at] for k in hit], np.int64)
-                asked = span(plan.prefix, left, left + window)
+                asked, checks = spans(plan.words.hash, left, left + window), spans(plan.words.check, left, left + window, 1)
                 once = np.unique(mix(asked + mix(doc.astype(U) + U(1))), return_index=True)[1]  # a text that repeats itself asks once
-                gather.add(asked[once], numbers[doc[once]])
+                gather.add(asked[once], numbers[doc[once]], checks[once])
                 open_ones = np.bincount(doc, minlength=len(hit))
                 for d, k in enumerate(hit):
                     flags = settled[plan.words.first[d] : plan.words.first[d + 1]]
@@ -251,7 +259,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for _, some in pieces(raw, raw):
                 w = Words(some, SPACED)
                 start = runs(w.first, w.counts, window)
-                name = span(rolling(w.hash), start, start + window)
+                name = spans(w.hash, start, start + window)
                 edge = np.searchsorted(start, w.first)
                 for d, text in enumerate(some):
                     starts, ends = np.frombuffer(ranges[at], np.int32).reshape(2, -1).astype(np.int64)

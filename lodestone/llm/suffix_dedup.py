@@ -1,23 +1,26 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
 In suffix order, the nearest suffixes before and after one that start at a smaller position give its longest previous
-factor: the longest string that starts there and somewhere earlier. ``previous_factors`` computes that array, and its
-mirror for later matches, for one byte string. A byte goes if a string of ``length`` bytes over it has a previous factor
-of that length (later copies go, the first stays) or also if it has a next factor (all copies go).
+factor: the longest string that starts there and somewhere earlier. A byte goes if a string of ``length`` bytes over it has
+a previous factor of that length (later copies go, the first stays) or also if it has a next factor (all copies go).
+``previous_factors`` computes whole arrays for one byte string.
 
 Over a corpus only factors of ``length`` count, so the suffix order is needed only as far as that depth, and is built in
 parts. Each window of ``length`` bytes picks as anchor the k-gram of least hash in it, the last among equals; equal windows
-pick equal anchors at equal places, so the windows of one anchor are one part of the suffix order. First round: anchors, and
-anchors with all that their windows may cover, are named by hash, and Spark finds the names that stand more than once. A
-repeated surrounding settles all windows around its anchor. Second round: for anchors that are repeated while their
-surroundings aren't, and for one of each group of equal surroundings, windows are taken in blocks of sixteen. The windows of
-a block differ only in the fifteen bytes before and behind its core, so a block travels as the hash of its core and those
-thirty bytes; sorting these gives the suffix order of all windows of equal cores, and runs of equal keys in it the previous
-and next factors. Anchors with more than one in ``SHARE`` of all entries, at most so many, are told to all tasks; their windows
-travel one by one, as names, which tasks aggregate before they deal them out, so no core is held by very many blocks.
+pick equal anchors at equal places, so the windows of one anchor are one part of the suffix order. First round: anchors are
+named by hash, which only finds candidates, and anchors with all that their windows may cover by a strong digest of 128
+bits; Spark finds the names that stand more than once. A repeated surrounding settles all windows around its anchor. Second
+round: for anchors that are repeated while their surroundings aren't, and for one of each group of equal surroundings, the
+bytes of their windows go to the anchor's part. There ``Part`` sorts the suffixes that start at anchors by their bytes, with
+their common prefixes, and extends that order byte by byte to the left, so that it has the suffix order of all windows at
+each distance from their anchors. Where neighbours share ``length`` bytes, the nearest places before and after with a
+smaller position in the corpus give the previous factor, those with a greater one the next. Equality there is equality of
+bytes. Anchors with more than one in ``SHARE`` of all entries, at most so many, are told to all tasks; their windows are
+parts of their own, named by 128 bits, which tasks aggregate before they deal them out, so no part is held by very many rows.
 Texts aren't compared in pairs, and a string that a third of all rows share costs a few entries a row.
 
-Null text is empty; matches never cross rows; repeated rows are copies of each other.
+Null text is empty; matches never cross rows; repeated rows are copies of each other. A text is held whole by a task, with
+some 50 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .names import BLOB, FOUND, Gather, by_key, heavy_names, shared
 from .shared import shared_path, stored
-from .words import BYTES, U, buckets, by_bucket, cover, expand, mix, pieces, rolling, small_batches, span, splitmix, table, texts_of
+from .words import U, buckets, by_bucket, cover, expand, fixed, mix, pieces, small_batches, splitmix, strong, table, texts_of
 
-LENGTH, GRAM, BLOCK = 400, 128, 16
+LENGTH, GRAM = 400, 128
 SALT = splitmix(4, 31)
 #: Entries from which, and share of all entries above which, an anchor's windows travel one by one.
 HEAVY, SHARE = 2_000, 100_000
@@ -121,16 +124,14 @@ class Anchors:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.first = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         n, w = len(self.bytes), length - gram + 1
-        self.prefix = rolling(BYTES[self.bytes])
         empty = np.zeros(0, np.int64)
         self.at = self.low = self.high = self.doc = empty
-        self.name = self.around = np.zeros(0, U)
+        self.name = self.around = self.around_check = np.zeros(0, U)
         self.whole = np.zeros(0, bool)
         sizes = np.diff(self.first)
         if n < length or not (sizes >= length).any():
             return
-        start = np.arange(n - gram + 1)
-        h = span(self.prefix, start, start + gram) >> U(1) | U(1)  # odd, so never 0, and never the largest
+        h = fixed(self.bytes, gram) >> U(1) | U(1)  # odd, so never 0, and never the largest
         ends = self.first[1:]
         valid = np.ones(n, bool)  # a window may start here
         for d in np.flatnonzero(sizes > 0):
@@ -160,8 +161,14 @@ class Anchors:
         self.name = h[self.at] ^ SALT[0]
         a, b = self.at - w + 1, self.at + gram + w - 1
         self.whole = (a >= self.first[self.doc]) & (b <= ends[self.doc])
-        self.around = np.zeros(len(self.at), U)
-        self.around[self.whole] = span(self.prefix, a[self.whole], b[self.whole]) ^ SALT[1]
+        self.around, self.around_check = np.zeros(len(self.at), U), np.zeros(len(self.at), U)
+        self.around[self.whole], self.around_check[self.whole] = self.digests(a[self.whole], b[self.whole])
+        self.around[self.whole] ^= SALT[1]
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Both halves of the strong digests of spans."""
+        raw = self.bytes.tobytes()
+        return np.array([strong(raw[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)], U).reshape(-1, 2).T
 
     @staticmethod
     def _least_of_some(h: np.ndarray, m: np.ndarray, w: int) -> np.ndarray:
@@ -170,68 +177,108 @@ class Anchors:
         return np.flatnonzero(most == h)
 
 
-def blocks_of(a: Anchors, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of the windows of anchors ``of``: core hash, thirty flanking bytes, windows it holds as bits, first window, text."""
-    far, near = a.at[of] - a.low[of], a.at[of] - a.high[of]
-    q0, q1 = near // BLOCK, far // BLOCK
-    n = q1 - q0 + 1
-    who = np.repeat(of, n)
-    q = np.repeat(q0 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    base = a.at[who] - BLOCK * q - (BLOCK - 1)
-    core = span(a.prefix, base + BLOCK - 1, base + a.length)
-    edge = BLOCK - 1
-    cols = np.concatenate([np.arange(edge), a.length + np.arange(edge)])
-    flank = a.bytes[np.clip(base[:, None] + cols, 0, len(a.bytes) - 1)]
-    s = base[:, None] + np.arange(BLOCK)
-    inside = (s >= a.low[who][:, None]) & (s <= a.high[who][:, None])
-    mask = (inside * (1 << np.arange(BLOCK))).sum(1).astype(np.uint16)
-    return core, flank, mask, base, a.doc[who]
-
-
-def pack_blocks(core: np.ndarray, flank: np.ndarray, mask: np.ndarray, at: np.ndarray, key: np.ndarray) -> bytes:
-    order = np.argsort(key, kind="stable")
-    rest = np.diff(key[order], prepend=0).tobytes() + at[order].astype(np.int32).tobytes() + mask[order].tobytes() + flank[order].tobytes()
-    return np.array([len(core)], np.int64).tobytes() + core[order].tobytes() + zstandard.compress(rest, 1)
+def pack_windows(a: Anchors, of: np.ndarray, key: np.ndarray) -> bytes:
+    """The windows of anchors ``of`` as bytes, with the row and the place that each stands at."""
+    order = of[np.argsort(key, kind="stable")]
+    at, low, high = a.at[order], a.low[order], a.high[order]
+    text = a.bytes[expand(low, high + a.length - low)].tobytes()
+    head = np.diff(np.sort(key), prepend=0).tobytes() + (at - a.first[a.doc[order]]).astype(np.int64).tobytes() + np.stack([at - high, at - low]).astype(np.int32).tobytes()
+    return np.array([len(of)], np.int64).tobytes() + zstandard.compress(head + text, 1)
 
 
-def unpack_blocks(raw: bytes) -> tuple[np.ndarray, ...]:
+def unpack_windows(raw: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    rest = zstandard.decompress(raw[8 + 8 * n :])
-    flank = np.frombuffer(rest, np.uint8, -1, 14 * n).reshape(n, -1)
-    return np.frombuffer(raw, U, n, 8), flank, np.frombuffer(rest, np.uint16, n, 12 * n), np.frombuffer(rest, np.int32, n, 8 * n), np.cumsum(np.frombuffer(rest, np.int64, n))
+    rest = zstandard.decompress(raw[8:])
+    near, far = np.frombuffer(rest, np.int32, 2 * n, 16 * n).reshape(2, n).astype(np.int64)
+    return np.cumsum(np.frombuffer(rest, np.int64, n)), np.frombuffer(rest, np.int64, n, 8 * n), near, far, np.frombuffer(rest, np.uint8, -1, 24 * n)
 
 
-def factors(t: pa.Table, later: bool = True) -> pa.Table:
-    """Per row key the windows with a previous factor of full length, or with ``later`` a next one too.
+class Part:
+    """Windows around anchors in suffix order.
+
+    Occurrence i has the bytes ``text[start[i]:]``, of its windows and no further; ``far[i]`` bytes of them come before
+    its anchor, and its windows begin ``near[i]`` to ``far[i]`` bytes before it.
+    """
 
-    Windows of equal cores stand in suffix order by the bytes left and right of the core; in a run of equal ones each
-    but the first, in order of row key and position, has its previous smaller position in the run, each but the last its next.
+    def __init__(self, text: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> None:
+        self.text, self.near, self.far, self.length = text, near, far, length
+        self.size = far - near + length
+        self.start = np.cumsum(self.size) - self.size
+        raw, anchor, end = text.tobytes(), (self.start + far).tolist(), (self.start + self.size).tolist()
+        right = [raw[i:j] for i, j in zip(anchor, end, strict=True)]
+        self.order = np.array(sorted(range(len(near)), key=right.__getitem__), np.int64)
+        self.common = self._common_prefixes()
+
+    def _common_prefixes(self) -> np.ndarray:
+        """For each place in the order of the suffixes at anchors the bytes shared with the one before it."""
+        out = np.zeros(len(self.order), np.int64)
+        anchor, most = self.start + self.far, self.size - self.far
+        columns = np.arange(self.length)
+        for lo in range(1, len(self.order), 4096):
+            a, b = self.order[lo - 1 : lo + 4095], self.order[lo : lo + 4096]
+            a = a[: len(b)]
+            within = np.minimum(most[a], most[b])
+            x, y = (self.text[np.minimum(anchor[i][:, None] + columns, len(self.text) - 1)] for i in (a, b))
+            differ = (x != y) | (columns >= within[:, None])
+            out[lo : lo + len(b)] = np.where(differ.any(1), differ.argmax(1), self.length)
+        return out
+
+    def factors(self, place: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences with windows that have a previous factor of full length, or with ``later`` a next one too.
+
+        With each the least and the greatest distance of these windows from its anchor. ``place`` orders the occurrences
+        by their positions in the corpus.
+        """
+        m = len(self.order)
+        least, greatest = np.full(m, self.length), np.full(m, -1)
+        rank = np.empty(m, np.int64)
+        rank[self.order] = np.arange(m)
+        order, left = self.order, np.zeros(m, np.int64)  # in suffix order, and numbers of equal bytes before the anchor
+        anchor = self.start + self.far
+        for j in range(int(self.far.max(initial=-1)) + 1):
+            if j:
+                has = self.far[order] >= j
+                order, left = order[has], left[has]
+                byte = self.text[anchor[order] - j]
+                by = np.argsort(byte, kind="stable")
+                order, left, byte = order[by], left[by], byte[by]
+                left = np.cumsum(np.append(True, (byte[1:] != byte[:-1]) | (left[1:] != left[:-1]))) if len(by) else left
+            own = self.near[order] <= j
+            if np.count_nonzero(own) < 2:
+                continue
+            some = order[own]
+            alike = np.cumsum(self.common < self.length - j)[rank[some]]  # equal for suffixes at anchors with so long a common prefix
+            run = np.cumsum(np.append(True, (alike[1:] != alike[:-1]) | (left[own][1:] != left[own][:-1])))
+            hit = smaller_in_run(run, place[some])
+            if later:
+                hit |= smaller_in_run(run, m - 1 - place[some])
+            found = some[hit]
+            least[found] = np.minimum(least[found], j)
+            greatest[found] = j
+        which = np.flatnonzero(greatest >= 0)
+        return which, least[which], greatest[which]
+
+
+def smaller_in_run(run: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a smaller place comes before, or after, in the same run of the suffix order: the previous and next smaller positions."""
+    if not len(run):
+        return np.zeros(0, bool)
+    span = int(place.max()) + 1
+    before, after = place - run * span, (place + run * span)[::-1]  # runs are apart, so that what is least so far is of one run
+    out = np.minimum.accumulate(before) < before
+    return out | (np.minimum.accumulate(after) < after)[::-1]
+
+
+def factors(t: pa.Table, length: int, later: bool = True) -> pa.Table:
+    """Per row key the ranges of bytes that windows with factors of full length cover.
+
+    The windows of one occurrence of an anchor overlap, so those that have factors cover one range.
     """
-    core, flank, mask, at, key = (np.concatenate(x) for x in zip(*map(unpack_blocks, t.column("data").to_pylist()), strict=True))
-    order = np.lexsort((at, key, core))
-    core, flank, mask, at, key = core[order], flank[order], mask[order], at[order], key[order]
-    head = np.flatnonzero(np.diff(core, prepend=~core[:1]) != 0)
-    n = np.diff(np.append(head, len(core)))
-    many = np.repeat(n, n) > 1
-    core, flank, mask, at, key = core[many], flank[many], mask[many], at[many], key[many]
-    got = np.zeros(len(core), np.uint16)
-    wide = np.zeros((len(core), 32 + 16), np.uint8)
-    wide[:, :30] = flank
-    for k in range(BLOCK):
-        has = np.flatnonzero(mask & (1 << k))
-        text = np.ascontiguousarray(wide[has, k : k + 16])
-        text[:, 15] = 0
-        pair = text.view(U).reshape(-1, 2)
-        name = mix(core[has] + mix(pair[:, 0] + mix(pair[:, 1] ^ SALT[2])))
-        by = np.argsort(name, kind="stable")
-        same = name[by][1:] == name[by][:-1]
-        hit = np.zeros(len(has), bool)
-        hit[by[1:][same]] = True
-        if later:
-            hit[by[:-1][same]] = True
-        got[has[hit]] |= np.uint16(1 << k)
-    hit = got > 0
-    return by_key(key[hit], ("at", "bits"), at[hit].astype(np.int32), got[hit])
+    key, at, near, far, text = (np.concatenate(x) for x in zip(*map(unpack_windows, t.column("data").to_pylist()), strict=True))
+    place = np.empty(len(key), np.int64)
+    place[np.lexsort((at, key))] = np.arange(len(key))
+    which, least, greatest = Part(text, near, far, length).factors(place, later)
+    return by_key(key[which], ("starts", "ends"), at[which] - greatest, at[which] - least + length)
 
 
 def dealt(gather: Gather) -> list[tuple]:
@@ -269,7 +316,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                 a = Anchors(texts, length, gram)
                 k = np.array(keys, np.int64)
                 gather.add(a.name, k[a.doc])
-                gather.add(a.around[a.whole], k[a.doc[a.whole]])
+                gather.add(a.around[a.whole], k[a.doc[a.whole]], a.around_check[a.whole])
                 if gather.full():
                     yield gather.take()
         if (last := gather.take()) is not None:
@@ -317,10 +364,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                 single = np.isin(a.name[of], heaviest.value)
                 at_once, of = of[single], of[~single]
                 start = expand(a.low[at_once], a.high[at_once] - a.low[at_once] + 1)
-                gather.add(span(a.prefix, start, start + length) ^ SALT[3], numbers[np.repeat(a.doc[at_once], a.high[at_once] - a.low[at_once] + 1)])
-                core, flank, mask, base, doc = blocks_of(a, of)
-                for bucket, x in by_bucket(core, n):
-                    out.append((1, bucket, pack_blocks(core[x], flank[x], mask[x], base[x] - a.first[doc[x]], numbers[doc[x]]), None, None, None, None, None))
+                if len(start):
+                    gather.add(fixed(a.bytes, length)[start] ^ SALT[3], numbers[np.repeat(a.doc[at_once], a.high[at_once] - a.low[at_once] + 1)], a.digests(start, start + length)[0])
+                for bucket, x in by_bucket(a.name[of], n):
+                    out.append((1, bucket, pack_windows(a, of[x], numbers[a.doc[of[x]]]), None, None, None, None, None))
                 settled = cover(len(a.bytes), a.at[gone] - w + 1, a.at[gone] + gram + w - 1)
                 for d, k in enumerate(hit):
                     edge = np.diff(settled[a.first[d] : a.first[d + 1]].astype(np.int8), prepend=0, append=0)
@@ -336,29 +383,28 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     part = spark.read.schema(PASS_TWO).parquet(path)
     none = F.lit(0).cast("long")
     plain = part.filter("tag = 0").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: factors(t, not keep_first), "key long, at binary, bits binary")
-    told_again = found.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
+    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: factors(t, length, not keep_first), "key long, starts binary, ends binary")
+    told_again = found.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
     singly = part.filter("tag = 3").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: shared(t), FOUND).groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, runs, digests = [], [], []
-            for text, ranges, at, bits, names, earlier in zip(*(b.column(c).to_pylist() for c in ("text", "data", "at", "bits", "names", "earlier")), strict=True):
+            for text, ranges, begin, end, names, earlier in zip(*(b.column(c).to_pylist() for c in ("text", "data", "starts", "ends", "names", "earlier")), strict=True):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 starts, ends = np.frombuffer(ranges, np.int32).reshape(2, -1).astype(np.int64)
-                base = np.frombuffer(b"".join(at or []), np.int32).astype(np.int64)
-                held = np.frombuffer(b"".join(bits or []), np.uint16)
-                one = np.concatenate([base[held & (1 << k) > 0] + k for k in range(BLOCK)])
+                starts, ends = (np.concatenate([x, np.frombuffer(b"".join(y or []), np.int64)]) for x, y in ((starts, begin), (ends, end)))
+                one = np.zeros(0, np.int64)
                 if names:
                     start = np.arange(len(raw) - length + 1)
-                    own = span(rolling(BYTES[raw]), start, start + length) ^ SALT[3]
+                    own = fixed(raw, length) ^ SALT[3]
                     known, before = np.frombuffer(b"".join(names), U), np.frombuffer(b"".join(earlier), np.uint8) > 0
                     same = np.isin(own, known)
                     if keep_first:  # the first of a name that no earlier row has stays
                         first = np.unique(own, return_index=True)[1]
                         same[first[~np.isin(own[first], known[before])]] = False
-                    one = np.concatenate([one, start[same]])
+                    one = start[same]
                 gone = cover(len(raw), np.concatenate([starts, one]), np.concatenate([ends, one + length]))
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
@@ -366,7 +412,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rest = part.filter("tag = 2").select("key", "doc_id", "text", "n_bytes", "data").join(told_again, "key", "left").join(singly, "key", "left")
-    return plain.unionByName(rest.select("doc_id", "text", "n_bytes", "data", "at", "bits", "names", "earlier").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return plain.unionByName(rest.select("doc_id", "text", "n_bytes", "data", "starts", "ends", "names", "earlier").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

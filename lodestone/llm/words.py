@@ -8,6 +8,9 @@ follows the size of the input; a bucket is a hash range, so its content is bound
 
 from __future__ import annotations
 
+import hashlib
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,6 @@ U = np.uint64
 CHUNK_BYTES = 1 << 20
 #: Input bytes a bucket of a packed shuffle stands for.
 BUCKET_BYTES = 4 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def splitmix(n: int, seed: int = 7) -> np.ndarray:
@@ -36,38 +38,90 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, extended when a longer buffer comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << max(n, 1 << 16).bit_length()
-            for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                out = np.full(n, U(b), U)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-        return self.up, self.down
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value for the pair (a, b); for a given a, or a given b, different others give different values."""
+    x = a >> U(32)
+    x ^= a
+    x *= U(0xD6E8FEB86659FD93)
+    x += b
+    x ^= x >> U(29)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(32)
+    return x
 
 
-POWERS = _Powers()
+#: Of bytes, of spans' lengths, and of the steps of each seed.
 BYTES = splitmix(256)
-
-
-def rolling(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers: what ``span`` takes hashes of any span from."""
-    up, _ = POWERS.to(len(values) + 1)
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
-def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end], equal for equal content wherever it stands."""
-    _, down = POWERS.to(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+STEPS = splitmix(128, 13)
+LENGTHS = U(0xA0761D6478BD642F)
+#: Bytes of a word from which on it is digested by itself.
+LONG_WORD = 256
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def doubled(values: np.ndarray, seed: int = 0, n: int = 1):
+    """(n, hashes of spans of n) for n, 2 n, 4 n, ... from those of the first: each is made of two of the one before.
+
+    Hashes of pairs are mixed at each step and never added up, so no arrangement of few symbols makes different spans equal.
+    """
+    h = values
+    for step in STEPS[64 * seed :]:
+        yield n, h
+        if len(h) <= n:
+            return
+        h = joined(h[:-n] + step, h[n:])
+        n *= 2
+
+
+def fixed(values: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of values[i:i + length] for each i; values are bytes, or hashes."""
+    if len(values) < length:
+        return np.zeros(0, U)
+    if values.dtype != np.uint8:
+        steps = doubled(values)
+    elif length < 8:
+        steps = doubled(BYTES[values])
+    else:
+        steps = doubled(mix(np.ndarray((len(values) - 7,), "<u8", values.tobytes(), strides=(1,))), n=8)
+    for n, h in steps:
+        if 2 * n > length:
+            break
+    return mix(joined(h[: len(values) - length + 1], h[length - n :]) + U(length * int(LENGTHS) % (1 << 64)))
+
+
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of values[start:end], none empty: two overlapping powers of two cover each span, and its length is mixed in."""
+    out, size = np.zeros(len(start), U), end - start
+    most = int(size.max(initial=0))
+    for n, h in doubled(values, seed):
+        if n > most:
+            break
+        some = np.flatnonzero((size >= n) & (size < 2 * n))
+        if len(some):
+            out[some] = joined(h[start[some]], h[end[some] - n])
+    return mix(out + size.astype(U) * LENGTHS)
+
+
+def word_hashes(buffer: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of buffer[start:end], eight bytes at a time."""
+    size = end - start
+    eight = np.ndarray((len(buffer) + 1,), "<u8", buffer + bytes(8), strides=(1,))
+    out = joined(mix(size.astype(U) + STEPS[64 * seed]), eight[start] & MASKS[np.minimum(size, 8)])
+    some = np.flatnonzero(size > 8)
+    for at in range(8, LONG_WORD, 8):
+        if not len(some):
+            break
+        out[some] = joined(out[some], eight[start[some] + at] & MASKS[np.minimum(size[some] - at, 8)])
+        some = some[size[some] > at + 8]
+    for k in some.tolist():  # long ones
+        out[k] = U(int.from_bytes(hashlib.blake2b(buffer[start[k] : end[k]], digest_size=8, salt=bytes([seed])).digest(), "little"))
+    return mix(out)
+
+
+def strong(raw: bytes) -> tuple[int, int]:
+    """A strong digest of 128 bits as two numbers."""
+    d = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
 
 
 def _table(word: bytes | None, lower: bool) -> bytes:
@@ -103,7 +157,17 @@ class Words:
         self.first = np.append(np.searchsorted(self.start, self.byte_at), len(self.start))
         self.counts = np.diff(self.first)
         if hashes:
-            self.hash = span(rolling(BYTES[a]), self.start, self.end)
+            self.hash = word_hashes(self.buffer, self.start, self.end)
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        """Further 64 bits of each word, from other steps than those of ``hash``."""
+        return word_hashes(self.buffer, self.start, self.end, 1)
+
+    def of(self, text: int) -> list[bytes]:
+        """The words of a text."""
+        a, b = self.first[text], self.first[text + 1]
+        return self.buffer[self.start[a] : self.end[b - 1]].split() if b > a else []
 
     def doc_of(self) -> np.ndarray:
         """The index of each word's text."""
@@ -112,7 +176,7 @@ class Words:
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all runs of k words inside one text, and their hashes."""
         start = runs(self.first, self.counts, k)
-        return start, span(rolling(self.hash), start, start + k)
+        return start, spans(self.hash, start, start + k)
 
 
 def runs(first: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
