@@ -4,9 +4,11 @@ For each byte prefix of a pre-token the table holds the last token of that prefi
 token count of the prefix is one more than that of the prefix before that token. A token may end a prefix
 if it and the last token of what is before it encode to themselves side by side; exactly one candidate
 does. A text's prefix counts are then running sums over its pre-tokens, from which any truncation or
-budget question is answered without encoding again.
+budget question is answered without encoding again: a cut within a pre-token reads that pre-token's table, and only cuts
+within its first characters, which may change how the text before is split, are split anew.
 
-Null text counts as empty. Very long pre-tokens cost time in proportion to their length.
+Null text counts as empty. A pre-token's table takes time in proportion to its bytes, however long it is; a text is held
+whole by its task.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .pretokens import Generations, splitter
 from .words import small_batches, texts_of
 
+#: Characters of a pre-token within which a cut may change how the text before it is split: a blank and a contraction.
+EDGE = 4
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long"
 
 
@@ -55,7 +60,10 @@ class PrefixCounter:
             self.ids.pop(s.encode(), None)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = splitter(pattern)
-        self.longest = max(map(len, self.ids))
+        self.ending = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token), i))
+        self.ending.make_automaton()
         self.beside: dict[tuple[int, int], bool] = {}
         self.prefixes = Generations(self._prefixes)
 
@@ -96,14 +104,12 @@ class PrefixCounter:
 
     def _prefixes(self, piece: str) -> list[int]:
         """Token counts of the byte prefixes of a pre-token, the empty one first."""
-        raw, ids = piece.encode("utf-8", "surrogatepass"), self.ids
+        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
         last, count = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
-        for i in range(1, len(raw) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(raw[j:i])
-                if t is not None and (not j or self.side_by_side(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
+        for end, (size, token) in self.ending.iter(raw):  # at each end the longest token first
+            i = end + 1
+            if not count[i] and (size == i or self.side_by_side(last[i - size], token)):
+                last[i], count[i] = token, count[i - size] + 1
         return count
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
@@ -147,12 +153,29 @@ class PrefixIndex:
         self.counter, self.text, self.parts = counter, text, parts
         self.chars = [0, *accumulate(len(p) for p, _ in self.parts)]
         self.tokens = [0, *accumulate(1 if s else counter.prefixes[p][-1] for p, s in self.parts)]
+        self.open, self.by_char = -1, []
 
     def count(self, chars: int) -> int:
-        """Tokens of text[:chars], as if that prefix were encoded alone.
-
-        Only the parts beside the cut are split again: a cut may part a contraction or end white space.
-        """
+        """Tokens of text[:chars], as if that prefix were encoded alone."""
+        k = min(bisect_right(self.chars, chars), len(self.parts)) - 1
+        if k < 0:
+            return 0
+        inside = chars - self.chars[k]
+        if inside > EDGE and not self.parts[k][1]:
+            return self.tokens[k] + self.table(k)[inside]
+        return self._split_anew(chars)
+
+    def table(self, k: int) -> list[int]:
+        """Token counts of the prefixes of a pre-token, by characters."""
+        if self.open != k:
+            piece = self.parts[k][0]
+            by_byte = self.counter.prefixes[piece]
+            self.open = k
+            self.by_char = by_byte if piece.isascii() else [by_byte[n] for n in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)]
+        return self.by_char
+
+    def _split_anew(self, chars: int) -> int:
+        """For cuts beside the border of two parts: a cut may part a contraction or end white space, so those beside it are split again."""
         k = bisect_right(self.chars, chars) - 1
         while k and (k >= len(self.parts) or self.chars[k] > 0) and (self.text[self.chars[k] - 1 : self.chars[k]].isspace() or self.chars[k] == chars or (k < len(self.parts) and self.text[self.chars[k] : self.chars[k] + 1].isspace())):
             k -= 1
@@ -161,14 +184,24 @@ class PrefixIndex:
         return self.tokens[k] + self.counter.count(self.text[self.chars[k] : chars])
 
     def fitting(self, budget: int) -> int:
-        """Characters of the longest prefix, up to the part in which the budget is passed, with at most ``budget`` tokens."""
+        """Characters of the longest prefix, up to the part in which the budget is passed, with at most ``budget`` tokens.
+
+        Counts of prefixes may fall as a prefix grows, so the table of the part is read from its end.
+        """
         if self.tokens[-1] <= budget:
             return len(self.text)
         k = bisect_right(self.tokens, budget) - 1
-        for chars in range(self.chars[k + 1], self.chars[k], -1):
-            if self.count(chars) <= budget:
-                return chars
-        return self.chars[k]
+        start, size = self.chars[k], self.chars[k + 1] - self.chars[k]
+        if not self.parts[k][1] and size > EDGE:
+            table, room = self.table(k), budget - self.tokens[k]
+            for inside in range(size, EDGE, -1):
+                if table[inside] <= room:
+                    return start + inside
+            size = EDGE
+        for inside in range(size, 0, -1):
+            if self.count(start + inside) <= budget:
+                return start + inside
+        return start
 
 
 @lru_cache(2)
