@@ -1,15 +1,19 @@
 """License scans by ordered signature rules.
 
 A rule is a regular expression with a keyword, a label, a priority and a weight. An automaton of all
-keywords is run over a text first; only rules whose keyword occurs are tried. A detection that lies inside
-another of the same or a better priority is suppressed, so that a full title keeps the names within it quiet.
-Base phrases are counted by words and are never suppressed. Null text counts as empty.
+keywords is run over a text first; only rules whose keyword occurs are tried. Detections are taken by priority, then by
+length, and one that lies inside another of the same or a better priority is suppressed: a full title keeps the names
+within it quiet, while a broad sentence doesn't hide the licence that it names. Identifiers are read out of whole
+expressions with ``and``, ``or``, ``with`` and parentheses.
+
+Base phrases are counted by words and are never suppressed. Null text counts as empty; a long text is searched whole. Among
+detections of equal place and priority the lesser label stays; repeated rows give repeated rows, further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -124,9 +128,37 @@ SENTENCES = [
     ("ofl", "reserved font name", r"with reserved font name", 0.8),
     ("cc", "creative commons", r"licensed under (?:a|the) creative commons[\w ./-]{0,60}", 0.8),
     ("all-rights-reserved", "all rights reserved", r"(?:copyright|©|\(c\))[^\n]{0,80}all rights reserved", 0.5),
+    ("cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 0.9),
+    ("wtfpl", "you just do what the", r"you just do what the f\w* you want to", 0.9),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return", 0.9),
+    ("artistic", "the artistic license", r"you can redistribute it and/or modify it under the terms of the artistic license", 0.9),
+    ("perl", "same terms as perl", r"redistribute it and/or modify it under the same terms as perl(?: itself)?", 0.95),
+    ("lgpl", "lesser general public", r"under the terms of the gnu lesser general public license as published by\s+the free software foundation", 0.95),
+    ("agpl", "affero general public", r"under the terms of the gnu affero general public license as published by\s+the free software foundation", 0.95),
+    ("cddl", "common development and distribution", r"the contents of this file are subject to the terms of the\s+common development and distribution license", 0.95),
+    ("mpl", "copy of the mpl was not distributed", r"if a copy of the mpl was not distributed with this\s+file", 0.95),
+    ("bsd-2-clause", "expressed or implied, of the freebsd", r"either expressed or implied, of the freebsd project", 0.9),
+    ("0bsd", "with or without fee is hereby granted", r"use, copy, modify, and/or distribute this software for any\s+purpose with or without fee is hereby granted\.", 0.7),
+    ("unlicense", "means, commercial or non-commercial", r"for any purpose, commercial or non-commercial, and by any\s+means", 0.85),
+    ("openssl", "for use in the openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit", 0.95),
+    ("ms-pl", "microsoft public", r"this license governs use of the accompanying software\. if you use the software, you accept this license", 0.8),
+    ("boost", "license_1_0.txt", r"see accompanying file license_1_0\.txt", 0.9),
+    ("proprietary", "trade secret", r"(?:confidential|proprietary)[^\n]{0,60}trade secrets?", 0.7),
+    ("no-derivatives", "may not be modified", r"may not be modified(?:,| or) (?:sold|distributed|reproduced)", 0.6),
+    ("non-commercial", "non-commercial use only", r"for (?:personal,? )?non-commercial use only", 0.7),
+    ("research-only", "research purposes only", r"for (?:academic )?research purposes only", 0.7),
     ("proprietary", "proprietary and confidential", r"proprietary and confidential", 0.7),
 ]
 
+#: What identifiers follow: expression, priority, weight, keywords.
+LEADS = [
+    (r"spdx-license-identifier:\s*", 0, 1.0, ["spdx-license-identifier"]),
+    (r"(?<![\w-])licen[sc]e[\"']?\s*[:=]\s*[\"']?", 1, 0.9, ["license", "licence"]),
+    (r"(?<![a-z])(?:licensed|released|distributed|available)\s+under\s+(?:the\s+)?", 1, 0.9, ["licensed", "released", "distributed", "available"]),
+]
+OPERAND = re.compile(r"[\s(]*([a-z0-9][\w+-]*(?:\.[\w+-]+)*)")
+CONNECTIVE = re.compile(r"\s*\)*\s*(and|or|with|/)(?=[\s(])\s*")
+
 #: Ways in which a notice names a licence: expression around the name, better priority first, weight.
 FRAMES = [
     (r"(?:dual[- ])?(?:licensed|released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+|a\s+)?{}", 1, 0.9),
@@ -137,14 +169,16 @@ FRAMES = [
 
 @lru_cache(1)
 def rules() -> tuple[list[tuple[int, str, float, re.Pattern[str]]], ahocorasick.Automaton]:
-    """(priority, label, weight, expression) in order, and the automaton that gives the rules of a keyword."""
-    found: list[tuple[int, str, float, str, list[str]]] = []
+    """(priority, label, weight, expression) in order, and the automaton that gives the rules of a keyword.
+
+    A rule without label leads to an expression of identifiers.
+    """
+    found: list[tuple[int, str, float, str, list[str]]] = [(p, "", w, x, gates) for x, p, w, gates in LEADS]
     for label, name, tag, address in NAMED:
         gates = keywords(name)
-        found.append((0, label, 1.0, rf"spdx-license-identifier:\s*(?:{tag})(?![\w.-])", ["spdx-license-identifier"]))
         found.append((1, label, 0.9, rf"(?<![\w.-])(?:https?://)?(?:www\.)?{address}", [address.split("/")[0].replace("\\", "")]))
         found += [(p, label, w, frame.replace("{}", rf"(?:{name})(?![a-z])"), gates) for frame, p, w in FRAMES]
-    found += [(0, label, w, x, [key]) for label, key, x, w in SENTENCES]
+    found += [(0 if w > 0.8 else 5, label, w, x, [key]) for label, key, x, w in SENTENCES]  # broad ones hide nothing
     found.sort(key=lambda r: (r[0], r[1]))
     automaton, number = ahocorasick.Automaton(), count()
     gated: dict[str, list[int]] = {}
@@ -160,11 +194,33 @@ def rules() -> tuple[list[tuple[int, str, float, re.Pattern[str]]], ahocorasick.
 def keywords(name: str) -> list[str]:
     """Literal text without which a name's expression can't match: its longest plain run, in each spelling."""
     plain = re.sub(r"\(\?[:!][^()]*\)\??|\(\?:[^()]*\([^()]*\)[^()]*\)\??", "|", name)
-    plain = re.sub(r"\[[^]]*\]|\\[a-z]|\(.*|[?*+.].?", "|", plain)
+    plain = re.sub(r"\[[^]]*\][?*+]?|\\.[?*+]?|\(.*|.[?*+]|\.", "|", plain)  # a character that may be missing is none of it
     best = max(plain.split("|"), key=len).strip()
     return [best] if len(best) >= 5 else ["licens", "licenc", "cc by", "cc0", "creative commons", "cecill", "openrail", "open rail", "unlicense"]
 
 
+@lru_cache(100_000)
+def identified(identifier: str) -> str | None:
+    """The label of an identifier."""
+    return next((label for label, _, tag, _ in NAMED if re.fullmatch(rf"(?:{tag})\+?", identifier)), None)
+
+
+def expression(lower: str, start: int, at: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, label) of the identifiers of an expression that begins at ``at``, the first with what leads to it."""
+    exception = False
+    while (m := OPERAND.match(lower, at)) is not None:
+        label = None if exception else identified(m[1])
+        if label is not None:
+            yield start, m.end(), label
+        elif not exception:
+            return
+        following = CONNECTIVE.match(lower, m.end())
+        if following is None:
+            return
+        exception, at = following[1] == "with", following.end()
+        start = at
+
+
 def detect(lower: str) -> list[tuple[int, int, int, str, float]]:
     """Detections (start, end, priority, label, weight) that no other one of as good a priority contains."""
     ordered, automaton = rules()
@@ -172,18 +228,24 @@ def detect(lower: str) -> list[tuple[int, int, int, str, float]]:
     found = []
     for k in on:
         p, label, w, x = ordered[k]
-        found += [(m.start(), m.end(), p, label, w) for m in x.finditer(lower)]
-    found.sort(key=lambda d: (d[0], -d[1], d[2], d[3]))
+        if label:
+            found += [(m.start(), m.end(), p, label, w) for m in x.finditer(lower)]
+        else:
+            found += [(s, e, p, named, w) for m in x.finditer(lower) for s, e, named in expression(lower, m.start(), m.end())]
+    found.sort(key=lambda d: (d[2], d[0] - d[1], d[0], d[3]))
     kept: list[tuple[int, int, int, str, float]] = []
-    by_start: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is kept, with the ends beside them
+    ends: list[int] = []
     longest = 0
-    for d in found:  # better priorities first, so that whatever is kept may suppress what follows
-        near = by_start[bisect_left(by_start, (d[1] - longest, 0)) : bisect_left(by_start, (d[0] + 1, 0))]
-        if not any(end >= d[1] for _, end in near):
+    for d in found:  # whatever is kept has as good a priority as what follows, and if the same, is no shorter
+        near = slice(bisect_left(starts, d[1] - longest), bisect_right(starts, d[0]))
+        if not any(end >= d[1] for end in ends[near]):
             kept.append(d)
-            insort(by_start, d[:2])
+            at = bisect_right(starts, d[0])
+            starts.insert(at, d[0])
+            ends.insert(at, d[1])
             longest = max(longest, d[1] - d[0])
-    return kept
+    return sorted(kept, key=lambda d: (d[0], d[1], d[2], d[3]))
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string"

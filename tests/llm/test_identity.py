@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import decontaminate, set_join, substring_dedup, suffix_dedup, token_counts, words
+from lodestone.llm import decontaminate, licenses, set_join, substring_dedup, suffix_dedup, token_counts, words
 
 from . import brute
 
@@ -129,3 +129,40 @@ def test_long_pretokens():
         for budget in (0, 1, 20, 100):
             k = index.fitting(budget)
             assert every[k] <= budget and own.measure(text, budget) == (every[-1], k)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("this work is licensed under a creative commons attribution-noncommercial 4.0 license", "cc,cc-by-nc"),
+        ("copyright 2020 foo, mozilla public license 2.0, all rights reserved", "all-rights-reserved,mpl"),
+        ("licensed under gpl-3.0-only", "gpl"),
+        ("license: apache-2.0", "apache"),
+        ('license = "bsd-3-clause"', "bsd-3-clause"),
+        ("spdx-license-identifier: (mit and bsd-3-clause)", "bsd-3-clause,mit"),
+        ("spdx-license-identifier: mit or apache-2.0", "apache,mit"),
+        ("spdx-license-identifier: gpl-2.0-or-later with classpath-exception-2.0 and (isc or zlib)", "gpl,isc,zlib"),
+        ("the nasa open source agreement version 1.3 applies", "nasa"),
+        ("gnu lesser general public license v2.1", "lgpl"),
+        ("see the license: it is long", ""),
+        ("", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    assert ",".join(sorted({d[3] for d in licenses.detect(text)})) == labels
+
+
+def test_kept_detections():
+    """Against a plain reading: a detection goes if one of better priority, or of the same and longer, contains it."""
+    d = random.Random(5)
+    parts = ["licensed under the mit license", "spdx-license-identifier: mit", "all rights reserved", "copyright", "gpl-2.0", "the gnu lesser general public license", " and ", "license: isc", "x" * 30]
+    for _ in range(200):
+        text = " ".join(d.choice(parts) for _ in range(d.randint(0, 8)))
+        ordered, _ = licenses.rules()
+        every = []
+        for p, label, w, x in ordered:
+            for m in x.finditer(text):
+                every += [(m.start(), m.end(), p, label, w)] if label else [(s, e, p, name, w) for s, e, name in licenses.expression(text, m.start(), m.end())]
+        every.sort(key=lambda r: (r[2], r[0] - r[1], r[0], r[3]))
+        want = [r for k, r in enumerate(every) if not any(q[0] <= r[0] and q[1] >= r[1] for q in every[:k])]
+        assert licenses.detect(text) == sorted(want, key=lambda r: r[:4])
