@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .names import BLOB, FOUND, Gather, by_key, heavy_names, shared
 from .shared import shared_path, stored
-from .words import U, buckets, by_bucket, cover, expand, fixed, mix, pieces, small_batches, splitmix, strong, table, texts_of
+from .words import U, buckets, by_bucket, by_buckets, cover, expand, fixed, mix, pieces, small_batches, splitmix, strong, table, texts_of
 
 LENGTH, GRAM = 400, 128
 SALT = splitmix(4, 31)
@@ -158,7 +158,7 @@ class Anchors:
         high = np.minimum(np.minimum(run_end[r] - 1, at), following - w)
         keep = (low <= high) & (m[run[r]] == h[at])
         self.at, self.low, self.high, self.doc = at[keep], low[keep], high[keep], doc[keep]
-        self.name = h[self.at] ^ SALT[0]
+        self.name = mix(h[self.at] ^ SALT[0])  # anchors have small hashes, names any
         a, b = self.at - w + 1, self.at + gram + w - 1
         self.whole = (a >= self.first[self.doc]) & (b <= ends[self.doc])
         self.around, self.around_check = np.zeros(len(self.at), U), np.zeros(len(self.at), U)
@@ -214,8 +214,8 @@ class Part:
         out = np.zeros(len(self.order), np.int64)
         anchor, most = self.start + self.far, self.size - self.far
         columns = np.arange(self.length)
-        for lo in range(1, len(self.order), 4096):
-            a, b = self.order[lo - 1 : lo + 4095], self.order[lo : lo + 4096]
+        for lo in range(1, len(self.order), 1024):
+            a, b = self.order[lo - 1 : lo + 1023], self.order[lo : lo + 1024]
             a = a[: len(b)]
             within = np.minimum(most[a], most[b])
             x, y = (self.text[np.minimum(anchor[i][:, None] + columns, len(self.text) - 1)] for i in (a, b))
@@ -322,7 +322,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
         if (last := gather.take()) is not None:
             yield last
 
-    repeated = stored(docs.select("key", "text").mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(lambda t: shared(t, least=heavy), FOUND), "anchors")
+    repeated = stored(by_buckets(docs.select("key", "text").mapInArrow(name, BLOB), docs).applyInArrow(lambda t: shared(t, least=heavy), FOUND), "anchors")
     heaviest = spark.sparkContext.broadcast(heavy_names(repeated, heavy, SHARE))
     told = repeated.filter("key is not null").groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
@@ -383,10 +383,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     part = spark.read.schema(PASS_TWO).parquet(path)
     none = F.lit(0).cast("long")
     plain = part.filter("tag = 0").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: factors(t, length, not keep_first), "key long, starts binary, ends binary")
+    found = by_buckets(part.filter("tag = 1").select("bucket", "data"), docs).applyInArrow(lambda t: factors(t, length, not keep_first), "key long, starts binary, ends binary")
     told_again = found.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
-    singly = part.filter("tag = 3").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: shared(t), FOUND).groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
+    singly = by_buckets(part.filter("tag = 3").select("bucket", "data"), docs).applyInArrow(lambda t: shared(t), FOUND).groupBy("key").agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

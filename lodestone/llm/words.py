@@ -218,15 +218,34 @@ def pieces(ids: list, texts: list[str | bytes | None], most: int = CHUNK_BYTES):
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that df reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The bytes that df reads: no more than its sources hold, as estimates over joins are products; counted where a source tells none."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sources = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    found = min(sources, int(str(plan.stats().sizeInBytes())))
+    if found < 1 << 60:
+        return found
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return int(df.agg(F.sum(sum(long, F.lit(8)).cast("long"))).first()[0] or 0)
 
 
 def buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
-    """How many buckets a packed shuffle over df takes: in proportion to its bytes, and enough for the cores of small runs."""
+    """How many buckets a packed shuffle over df takes: in proportion to its bytes, and enough for the cores of small runs.
+
+    Names are dealt by 24 bits of their hashes, so beyond 64 terabytes buckets grow with the data.
+    """
     return int(min(max(128, scan_bytes(df) // each), 1 << 24))
 
 
+def by_buckets(dealt: DataFrame, source: DataFrame):
+    """dealt grouped by bucket, in tasks of which each stands for as many bytes of the source as a bucket does, whatever their packed size.
+
+    At least as many tasks as the session's shuffles have, and at most 2**17: beyond half a terabyte a task takes several buckets, one by one.
+    """
+    least = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(max(least, min(scan_bytes(source) // BUCKET_BYTES, 1 << 17)), "bucket").groupBy("bucket")
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
