@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .names import FLUSH
 from .shared import stored
-from .words import SPACED_LOWER, U, Words, buckets, by_bucket, expand, mix, pieces, runs, small_batches, spans, splitmix, table, texts_of
+from .words import SPACED_LOWER, U, Words, buckets, by_bucket, by_buckets, expand, mix, pieces, runs, small_batches, spans, splitmix, table, texts_of
 
 SHINGLE, PERCENT, BLOCK = 3, 90, 4096
 #: Of the pipeline's stage; SHINGLE and PERCENT are the contract of the query alone.
@@ -285,7 +285,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
             yield dealt()
 
     members = stored(docs.mapInArrow(digests, "doc_id long, set_id long, full binary, n long"), "sets")
-    near = docs.mapInArrow(parts, "bucket int, data binary").groupBy("bucket").applyInArrow(shared_parts, "a long, b long")
+    near = by_buckets(docs.mapInArrow(parts, "bucket int, data binary"), docs).applyInArrow(shared_parts, "a long, b long")
     clusters = components(near)
     clusters = stored(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()), "clusters")
     # sizes matter for clusters of several blocks alone; these few are told to all tasks, so that no cluster's sets meet in one
@@ -313,7 +313,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
     mine = F.pmod(F.xxhash64("full"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.xxhash64("root", F.least(mine, other), F.greatest(mine, other)).alias("part")))
     dealt = sets.select("full", "data", mine.alias("block"), F.explode(pairs).alias("p")).select("full", "data", "block", F.col("p.part").alias("part")).withColumn("bucket", F.pmod("part", F.lit(4 * n)))
-    found = dealt.groupBy("bucket").applyInArrow(lambda t: cluster_links(t, percent), "a binary, b binary")
+    found = by_buckets(dealt, docs).applyInArrow(lambda t: cluster_links(t, percent), "a binary, b binary")
     roots = components(stored(found, "links"))
     labelled = members.join(roots.withColumnRenamed("node", "full"), "full", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "full")))
     least = stored(labelled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
