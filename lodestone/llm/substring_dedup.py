@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .names import BLOB, FOUND, Gather, shared
 from .shared import shared_path
-from .words import SPACED, U, Words, buckets, cover, joined, mix, pieces, runs, small_batches, spans, splitmix, strong, table, texts_of
+from .words import SPACED, U, Words, buckets, by_buckets, cover, joined, mix, pieces, runs, small_batches, spans, splitmix, strong, table, texts_of
 
 WINDOW, MARGIN = 13, 3
 #: Rounds whose symbols are looked up as long repeats.
@@ -146,8 +146,8 @@ class Plan:
         return settled, self.at[left]
 
 
-def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str | None], int]]:
-    ids, texts, at = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), 0
+def _texts(texts: list[str | bytes | None], ids: list[int | None]) -> Iterator[tuple[list[int | None], list[str | bytes | None], int]]:
+    at = 0
     for part, some in pieces(ids, texts):
         yield part, some, at
         at += len(part)
@@ -187,7 +187,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather(n)
         for b in batches:
-            for ids, texts, _ in _texts(b):
+            for ids, texts, _ in _texts(b.column("text").to_pylist(), b.column("doc_id").to_pylist()):
                 some = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
                 plan = Plan([t for _, t in some], window)
                 names, of, checks = plan.names()
@@ -197,20 +197,25 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if (last := gather.take()) is not None:
             yield last
 
-    met = docs.mapInArrow(name, BLOB).groupBy("bucket").applyInArrow(lambda t: shared(t), FOUND)
+    met = by_buckets(docs.mapInArrow(name, BLOB), docs).applyInArrow(lambda t: shared(t), FOUND)
     told = met.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("names").alias("names"), F.collect_list("earlier").alias("earlier"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [zstandard.compress((t or "").encode("utf-8", "surrogatepass").translate(SPACED), 3) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather(n)
         for b in batches:
-            names, earlier = b.column("names").to_pylist(), b.column("earlier").to_pylist()
+            names, earlier, raw = (b.column(c).to_pylist() for c in ("names", "earlier", "text"))
             out: list[tuple] = []
-            for ids, texts, at in _texts(b):
+            for ids, texts, at in _texts([zstandard.decompress(x) for x in raw], b.column("doc_id").to_pylist()):
                 mine = range(at, at + len(ids))
                 hit = [k for k in mine if names[k]]
                 for k in mine:
                     if not names[k]:
-                        words = (texts[k - at] or "").encode("utf-8", "surrogatepass").translate(SPACED).split()
+                        words = texts[k - at].split()
                         out.append((0, None, None, ids[k - at], None, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
                 if not hit:
                     continue
@@ -233,24 +238,24 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 open_ones = np.bincount(doc, minlength=len(hit))
                 for d, k in enumerate(hit):
                     flags = settled[plan.words.first[d] : plan.words.first[d + 1]]
-                    words = (texts[k - at] or "").encode("utf-8", "surrogatepass").translate(SPACED)
                     if open_ones[d]:
                         edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
                         ranges = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype(np.int32)
-                        out.append((2, None, ranges.tobytes(), ids[k - at], zstandard.compress(words, 3), len(flags), None, None))
+                        out.append((2, None, ranges.tobytes(), ids[k - at], raw[k], len(flags), None, None))
                     else:
-                        out.append((0, None, None, ids[k - at], None, len(flags), int(flags.sum()), kept_digest(words.split(), flags)))
+                        out.append((0, None, None, ids[k - at], None, len(flags), int(flags.sum()), kept_digest(texts[k - at].split(), flags)))
             yield pass_two(out)
             if gather.full():
                 yield pass_two(dealt(gather))
         yield pass_two(dealt(gather))
 
     path = shared_path(spark, "windows")
-    told_docs = docs.join(told, "doc_id", "left").select("doc_id", "text", "names", "earlier")
+    packed = docs.mapInArrow(pack, "doc_id long, text binary")  # texts travel compressed
+    told_docs = packed.join(told, "doc_id", "left").select("doc_id", "text", "names", "earlier")
     told_docs.mapInArrow(settle, PASS_TWO).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     part = spark.read.schema(PASS_TWO).parquet(path)
     plain = part.filter("tag = 0").select("doc_id", "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
-    found = part.filter("tag = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: shared(t, True), FOUND).groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("names").alias("names"))
+    found = by_buckets(part.filter("tag = 1").select("bucket", "data"), docs).applyInArrow(lambda t: shared(t, True), FOUND).groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("names").alias("names"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
