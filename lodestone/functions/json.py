@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def infer_schema(df: DataFrame, column: str, sample: int = 1000) -> T.StructType:
-    """The schema that a bounded sample of the non-null texts shows."""
-    texts = [r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).limit(sample).collect()]
-    return df.sparkSession.read.json(df.sparkSession.createDataFrame([(t,) for t in texts], "value string").rdd.map(lambda r: r[0])).schema if texts else T.StructType()
+def infer_schema(df: DataFrame, column: str) -> T.StructType:
+    """The schema that all non-null texts show; one distributed pass, without Python workers."""
+    spark = df.sparkSession
+    texts = df.select(F.col(column).cast("string").alias("value")).filter("value is not null")
+    found = spark._jsparkSession.read().json(getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())).schema()
+    schema = T._parse_datatype_json_string(found.json())
+    return T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
 
 
 def flatten(df: DataFrame, column: str, schema: T.StructType | str | None = None, prefix: str | None = None, deep: bool = True, explode_arrays: bool = False, keep: bool = False) -> DataFrame:

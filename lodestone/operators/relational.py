@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..compat import require, safe_sum
@@ -110,17 +111,24 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     return both.filter("__side = 1").select(*left.columns, *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
-def overlaps(a: DataFrame, b: DataFrame, start: str, end: str, on: Sequence[str] = (), width_days: int = 365, horizon: str = "2200-01-01") -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, start: str, end: str, on: Sequence[str] = (), width_days: int = 365) -> DataFrame:
     """Pairs whose closed intervals overlap, open ends as infinite; pairs once, columns with _left and _right.
 
     Intervals are dealt to buckets of ``width_days``, so the join has an equality; a pair is kept in its first common bucket.
+    An open end stands at the last, or first, day that any interval of either side names: whatever meets beyond meets there.
     """
+    both = a.select(start, end).union(b.select(start, end)).select(F.col(start).cast("date").alias("s"), F.col(end).cast("date").alias("e"))
+    none = F.lit(0).cast("int")
+    reach = both.agg(F.coalesce(F.unix_date(F.min(F.least("s", "e"))), none).alias("__first"), F.coalesce(F.unix_date(F.max(F.greatest("s", "e"))), none).alias("__last"))
+
     def dealt(df: DataFrame, side: str) -> DataFrame:
-        lo = F.coalesce(F.col(start).cast("date"), F.lit("1800-01-01").cast("date"))
-        hi = F.coalesce(F.col(end).cast("date"), F.lit(horizon).cast("date"))
-        day = lambda c: F.floor(F.unix_date(c) / width_days)
-        renamed = df.select([F.col(f"`{c}`").alias(c if c in on else f"{c}_{side}") for c in df.columns] + [F.unix_date(lo).alias(f"__lo_{side}"), F.unix_date(hi).alias(f"__hi_{side}"), F.sequence(day(lo), day(hi)).alias("__all")])
-        return renamed.filter(f"__lo_{side} <= __hi_{side}").withColumn("__bucket", F.explode("__all")).drop("__all")
+        lo = F.coalesce(F.unix_date(F.col(start).cast("date")), F.col("__first"))
+        hi = F.coalesce(F.unix_date(F.col(end).cast("date")), F.col("__last"))
+        day = lambda c: F.floor(c / width_days)
+        given = df.crossJoin(F.broadcast(reach))  # one row
+        renamed = given.select([F.col(f"`{c}`").alias(c if c in on else f"{c}_{side}") for c in df.columns] + [lo.alias(f"__lo_{side}"), hi.alias(f"__hi_{side}")])
+        kept = renamed.filter(f"__lo_{side} <= __hi_{side}")
+        return kept.withColumn("__bucket", F.explode(F.sequence(day(F.col(f"__lo_{side}")), day(F.col(f"__hi_{side}")))))
 
     met = dealt(a, "left").join(dealt(b, "right"), [*on, "__bucket"])
     met = met.filter((F.col("__lo_left") <= F.col("__hi_right")) & (F.col("__lo_right") <= F.col("__hi_left")))
@@ -170,13 +178,20 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = No
     return df.select(*ids, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(list(ids), values, "variable", "value")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a local master a new one where that is unset, elsewhere that raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder: what reads it twice, as row numbers are, reads the same rows."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

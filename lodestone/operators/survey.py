@@ -139,7 +139,8 @@ def rake(df: DataFrame, targets: dict[str, dict[str, float]], weight: str = "wei
     """df with weights whose margins meet the target shares.
 
     Only the table of cells, at most the product of the targets' sizes, is fitted on the driver; the factor of each cell
-    is joined back, so rows are read twice and never iterated. Rows with a value outside the targets raise.
+    is joined back, so rows are read twice and never iterated. Rows with a value outside the targets raise, and so do
+    targets that can't be met together.
     """
     names = list(targets)
     require(df, *names, start)
@@ -165,6 +166,9 @@ def rake(df: DataFrame, targets: dict[str, dict[str, float]], weight: str = "wei
                     factor[k] *= step
         if worst < tolerance:
             break
+    else:
+        if cells:
+            raise RuntimeError(f"weights don't meet their targets after {iterations} rounds: {worst:.2g} off")
     spark = df.sparkSession
     fitted = spark.createDataFrame([(*k, f) for k, f in factor.items()], ", ".join(f"`__{n}` string" for n in names) + ", __factor double")
     met = df.join(F.broadcast(fitted), reduce(lambda a, b: a & b, (F.coalesce(F.col(n).cast("string"), F.lit("None")) == F.col(f"__{n}") for n in names)))
