@@ -25,6 +25,8 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 def query(name: str, sql: str | None = None):
     def keep(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"a query is registered twice: {name}")
         _queries[name] = f
         if sql is not None:
             _sql[name] = sql

@@ -59,11 +59,6 @@ def _(s, d):
     return io.join_segments(io.read_pipe(s, geo, ["SUMLEV", "LOGRECNO", "name"]), io.read_pipe(s, data, ["LOGRECNO", "P1"]), level="050").select("LOGRECNO", "name", "P1")
 
 
-@query("sql_with_arguments", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
-def _(s, d):
-    return io.sql(s, "SELECT o_orderpriority, count(*) AS n FROM own_orders WHERE o_totalprice > :least GROUP BY 1", {"own_orders": t(s, d, "orders")}, least=1000)
-
-
 @query("table_columns", "SELECT * FROM (VALUES ('r_regionkey', 'int', true), ('r_name', 'string', true)) v(\"column\", type, listed)")
 def _(s, d):
     t(s, d, "region").createOrReplaceTempView("own_region")
