@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..compat import ratio, require, safe_sum
 from ..functions import geometry as g
+from ..functions.relate import relation
 
 PREDICATES = ("intersects", "contains", "within", "touches", "crosses", "overlaps")
 
@@ -89,6 +90,95 @@ def polygon_pairs(left: DataFrame, right: DataFrame, left_geometry: str, right_g
     return met.filter(hold).drop("__aa", "__ba", "__meet")
 
 
+def _levels(df: DataFrame, size: float, top: int) -> DataFrame:
+    """df with the level of its box: 0 for sides up to ``size``, one more for each factor of four, so that it meets four cells at most."""
+    b = F.col("__box")
+    side = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / size
+    level = sum((F.when(side > 4.0**k, 1).otherwise(0) for k in range(top)), F.lit(0))
+    return df.filter(b["xmin"].isNotNull()).withColumn("__own", level)
+
+
+def _met(a: DataFrame, b: DataFrame, size: float, top: int) -> DataFrame:
+    """Pairs of rows whose boxes meet, each once: they are looked for on the coarser level of the two.
+
+    On a level, those of it meet those up to it, so many small boxes never meet each other on a coarse level.
+    """
+
+    def dealt(df: DataFrame, upward: bool, prefix: str, beyond: int = 0) -> DataFrame:
+        level = F.explode(F.sequence(F.col("__own") + beyond, F.lit(top))) if upward else F.col("__own")
+        df = df if not beyond else df.filter(F.col("__own") < top)
+        df = df.withColumn("level", level).withColumn("__side", F.lit(size) * F.pow(F.lit(4.0), F.col("level")))
+        at = lambda c: F.floor(F.col("__box")[c] / F.col("__side"))
+        df = df.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+        df = df.withColumn("__fx", at("xmin")).withColumn("__fy", at("ymin")).drop("__own", "__side")
+        return df.withColumnsRenamed({"__box": f"__{prefix}box", "__fx": f"__{prefix}fx", "__fy": f"__{prefix}fy"})
+
+    own_a = dealt(a, False, "a").join(dealt(b, True, "b"), ["level", "cx", "cy"])
+    own_b = dealt(a, True, "a", 1).join(dealt(b, False, "b"), ["level", "cx", "cy"])
+    both = own_a.unionByName(own_b).filter((F.col("cx") == F.greatest("__afx", "__bfx")) & (F.col("cy") == F.greatest("__afy", "__bfy")))
+    p, q = F.col("__abox"), F.col("__bbox")
+    both = both.filter((p["xmin"] <= q["xmax"]) & (q["xmin"] <= p["xmax"]) & (p["ymin"] <= q["ymax"]) & (q["ymin"] <= p["ymax"]))
+    return both.drop("level", "cx", "cy", "__afx", "__afy", "__bfx", "__bfy", "__abox", "__bbox")
+
+
+def holds(predicate: str, r: Column) -> Column:
+    """Whether a predicate holds by the facts of ``relate.relation``; points, lines and areas alike."""
+    inner, lower, higher = r["inner"] >= 0, r["a_dim"] < r["b_dim"], r["a_dim"] > r["b_dim"]
+    return {
+        "intersects": r["meet"],
+        "contains": inner & ~r["b_out"],
+        "within": inner & ~r["a_out"],
+        "touches": r["meet"] & ~inner,
+        "crosses": F.when(lower, inner & r["a_out"]).when(higher, inner & r["b_out"]).otherwise((r["a_dim"] == 1) & (r["inner"] == 0)),
+        "overlaps": (r["a_dim"] == r["b_dim"]) & (r["inner"] == r["a_dim"]) & r["a_out"] & r["b_out"],
+    }[predicate]
+
+
+def spatial_join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, predicate: str = "intersects", how: str = "inner", size: float | None = None) -> DataFrame:
+    """Rows whose geometries, points, lines or areas, stand in a relation; ``how`` is inner, left, right, outer or full.
+
+    Columns that both have get _left and _right. Null and empty geometries, and kinds that aren't known, meet nothing.
+    ``size`` is the side of the least cells; without it, it is the mean side of the boxes, from one aggregate of each side.
+    Other than inner, both sides are written to the shared folder first, so that their row numbers stay.
+    """
+    if predicate not in PREDICATES:
+        raise ValueError(f"predicate is none of {PREDICATES}: {predicate!r}")
+    if how not in ("inner", "left", "right", "outer", "full"):
+        raise ValueError(f"how is inner, left, right, outer or full: {how!r}")
+    from .relational import pinned
+
+    require(left, left_geometry)
+    require(right, right_geometry)
+    both = set(left.columns) & set(right.columns)
+    a = left.toDF(*(f"{c}_left" if c in both else c for c in left.columns))
+    b = right.toDF(*(f"{c}_right" if c in both else c for c in right.columns))
+    names = [*a.columns, *b.columns]
+    ga, gb = f"{left_geometry}_left" if left_geometry in both else left_geometry, f"{right_geometry}_right" if right_geometry in both else right_geometry
+    if how != "inner":
+        a, b = (pinned(df.withColumn(k, F.monotonically_increasing_id())) for df, k in ((a, "__a"), (b, "__b")))
+    p = (a if how == "inner" else a.select("__a", ga)).withColumn("__box", g.bbox(ga))
+    q = (b if how == "inner" else b.select("__b", gb)).withColumn("__box", g.bbox(gb))
+    x = F.col("__box")
+    side = F.greatest(x["xmax"] - x["xmin"], x["ymax"] - x["ymin"])
+    known = [df.agg(F.avg(side), F.max(side)).first() for df in (p, q)]
+    if size is None:
+        size = max((k[0] or 0.0 for k in known), default=0.0) or 1.0
+    widest = max(k[1] or 0.0 for k in known)
+    top = 0
+    while size * 4.0**top < widest:
+        top += 1
+    met = _met(_levels(p, size, top), _levels(q, size, top), size, top)
+    met = met.withColumn("__r", relation(F.col(ga), F.col(gb))).filter(holds(predicate, F.col("__r"))).drop("__r")
+    if how == "inner":
+        return met.select(*(F.col(f"`{c}`") for c in names))
+    link = met.select("__a", "__b")
+    if how == "right":
+        out = b.join(link, "__b", "left").join(a, "__a", "left")
+    else:
+        out = a.join(link, "__a", "left").join(b, "__b", "left" if how == "left" else "full")
+    return out.select(*(F.col(f"`{c}`") for c in names))
+
+
 def apportion(source: DataFrame, target: DataFrame, source_geometry: str, target_geometry: str, target_key: str, extensive: Sequence[str] = (), intensive: Sequence[str] = (), size: float = 1.0) -> DataFrame:
     """Per target the sums of extensive values by share of the source's area, and means of intensive ones by shared area.
 

@@ -716,6 +716,49 @@ def _(s, d):
     return rounded(spatial.polygon_pairs(districts(s, d), shifted(s, d), "shape", "area", "overlaps", 10.0).select("n_name", "target", "shared_area"))
 
 
+# a line of each supplier, level or upright, against the squares of the districts: intervals say how they lie
+BARS = "SELECT s_suppkey, s_suppkey % 2 = 0 AS level, CAST(s_suppkey * 7 % 50 AS DOUBLE) AS u, CAST(s_suppkey * 7 % 50 + 1 + s_suppkey % 13 AS DOUBLE) AS v, CAST(s_suppkey * 3 % 101 AS DOUBLE) / 2 AS w FROM supplier"
+LAID = f"SELECT s_suppkey, n_name, u, v, w, CAST(CASE WHEN level THEN n_nationkey % 5 ELSE n_nationkey // 5 END * 10 AS DOUBLE) AS lo, CAST(CASE WHEN level THEN n_nationkey // 5 ELSE n_nationkey % 5 END * 10 AS DOUBLE) AS l2 FROM ({BARS}), nation"
+MEETS = "u <= lo + 10 AND v >= lo AND w BETWEEN l2 AND l2 + 10"
+INNER = "u < lo + 10 AND v > lo AND w > l2 AND w < l2 + 10"
+BAR_SQL = {"intersects": MEETS, "within": f"{INNER} AND u >= lo AND v <= lo + 10", "crosses": f"{INNER} AND (u < lo OR v > lo + 10)", "touches": f"{MEETS} AND NOT ({INNER})"}
+
+
+def bars(s, d):
+    k = F.col("s_suppkey")
+    u, w = (k * 7 % 50).cast("double"), (k * 3 % 101).cast("double") / 2
+    v = (k * 7 % 50 + 1 + k % 13).cast("double")
+    end = lambda a, b: F.concat_ws(" ", F.when(k % 2 == 0, a).otherwise(b).cast("string"), F.when(k % 2 == 0, b).otherwise(a).cast("string"))
+    return t(s, d, "supplier").select("s_suppkey", F.concat(F.lit("LINESTRING ("), end(u, w), F.lit(", "), end(v, w), F.lit(")")).alias("bar"))
+
+
+def _bar_query(name: str, where: str):
+    @query(f"lines_{name}", f"SELECT s_suppkey, n_name FROM ({LAID}) WHERE {where}")
+    def _(s, d):
+        return spatial.spatial_join(bars(s, d), districts(s, d), "bar", "shape", name).select("s_suppkey", "n_name")
+
+
+for _name, _where in BAR_SQL.items():
+    _bar_query(_name, _where)
+
+
+@query("spatial_join_left", f"SELECT s_suppkey, n_name FROM ({BARS}) LEFT JOIN (SELECT s_suppkey, n_name FROM ({LAID}) WHERE {BAR_SQL['within']}) USING (s_suppkey)")
+def _(s, d):
+    return spatial.spatial_join(bars(s, d), districts(s, d), "bar", "shape", "within", "left").select("s_suppkey", "n_name")
+
+
+@query("spatial_join_outer", f"SELECT s_suppkey, n_name FROM (SELECT s_suppkey, n_name FROM ({LAID}) WHERE {BAR_SQL['crosses']}) FULL JOIN supplier USING (s_suppkey) FULL JOIN nation USING (n_name)")
+def _(s, d):
+    return spatial.spatial_join(districts(s, d), bars(s, d), "shape", "bar", "crosses", "outer").select("s_suppkey", "n_name")
+
+
+@query("spatial_join_right", f"SELECT b.n_name, c_custkey FROM ({PLACES}) p LEFT JOIN nation b ON floor(x / 10) = n_nationkey % 5 AND floor(y / 10) = n_nationkey // 5 AND n_nationkey < 7")
+def _(s, d):
+    # the others have no shape, and meet nothing
+    some = districts(s, d).join(t(s, d, "nation"), "n_name").select("n_name", F.when(F.col("n_nationkey") < 7, F.col("shape")).alias("shape"))
+    return spatial.spatial_join(some, places(s, d).withColumn("at", geometry.point("x", "y")), "shape", "at", "contains", "right").select("n_name", "c_custkey")
+
+
 @query("apportion", f"SELECT b.n_name AS target, round(sum(a.n_regionkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6 ELSE 0.4 END::DOUBLE), 6) AS v, round(sum(a.n_nationkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END) / sum(CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END), 6) AS k FROM {SHIFT} GROUP BY 1")
 def _(s, d):
     source = districts(s, d).join(t(s, d, "nation").select("n_name", F.col("n_regionkey").alias("v"), F.col("n_nationkey").alias("k")), "n_name")

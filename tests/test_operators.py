@@ -392,3 +392,61 @@ def test_exact_quantiles(spark, keep):
         shares = [0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1]
         assert np.allclose(exact_quantiles(df, "v", shares, keep), np.quantile(values, shares), rtol=1e-12, atol=1e-12)
     assert exact_quantiles(df.limit(0), "v", [0.5]) is None
+
+
+AREA, HOLED = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
+RELATIONS = [
+    ("POINT (5 5)", AREA, {"intersects", "within"}),
+    ("POINT (5 5)", HOLED, set()),
+    ("POINT (4 5)", HOLED, {"intersects", "touches"}),
+    ("MULTIPOINT ((5 5), (20 5))", AREA, {"intersects", "crosses"}),
+    ("MULTIPOINT (1 1, 2 2)", "MULTIPOINT (2 2, 3 3)", {"intersects", "overlaps"}),
+    ("LINESTRING (0 0, 4 0)", "LINESTRING (2 0, 6 0)", {"intersects", "overlaps"}),
+    ("LINESTRING (0 0, 4 4)", "LINESTRING (0 4, 4 0)", {"intersects", "crosses"}),
+    ("LINESTRING (0 0, 4 4)", "LINESTRING (4 4, 9 0)", {"intersects", "touches"}),
+    ("LINESTRING (0 0, 4 0)", "LINESTRING (2 0, 2 5)", {"intersects", "touches"}),
+    ("LINESTRING (0 0, 4 0)", "POINT (4 0)", {"intersects", "touches"}),
+    ("LINESTRING (0 0, 4 0)", "POINT (2 0)", {"intersects", "contains"}),
+    ("LINESTRING (1 0, 9 0)", AREA, {"intersects", "touches"}),
+    ("LINESTRING (1 1, 9 1)", AREA, {"intersects", "within"}),
+    ("LINESTRING (1 5, 9 5)", HOLED, {"intersects", "crosses"}),
+    ("LINESTRING (-5 5, 15 5)", AREA, {"intersects", "crosses"}),
+    (AREA, "LINESTRING (-5 5, 15 5)", {"intersects", "crosses"}),
+    (AREA, HOLED, {"intersects", "contains"}),
+    (AREA, AREA, {"intersects", "contains", "within"}),
+    ("POLYGON ((4 4, 6 4, 6 6, 4 6, 4 4))", HOLED, {"intersects", "touches"}),
+    ("POLYGON ((5 5, 15 5, 15 15, 5 15, 5 5))", AREA, {"intersects", "overlaps"}),
+    ("POLYGON EMPTY", AREA, set()),
+    (None, AREA, set()),
+    ("CIRCLE (1 1)", AREA, set()),
+]
+
+
+def test_relations(spark):
+    a = spark.createDataFrame([(k, x) for k, (x, _, _) in enumerate(RELATIONS)], "k int, g string")
+    b = spark.createDataFrame([(k, y) for k, (_, y, _) in enumerate(RELATIONS)], "k int, g string")
+    for p in spatial.PREDICATES:
+        got = {r[0] for r in spatial.spatial_join(a, b, "g", "g", p).filter("k_left = k_right").select("k_left").collect()}
+        assert got == {k for k, (_, _, want) in enumerate(RELATIONS) if p in want}, p
+    with pytest.raises(ValueError):
+        spatial.spatial_join(a, b, "g", "g", "near")
+    with pytest.raises(ValueError):
+        spatial.spatial_join(a, b, "g", "g", how="semi")
+
+
+@pytest.mark.parametrize("size", [None, 0.5, 300.0])
+def test_spatial_join_of_very_different_sizes(spark, size):
+    rnd = random.Random(7)
+    boxes = [[(x, y, x + w, y + w) for x, y, w in ((rnd.uniform(-900, 900), rnd.uniform(-900, 900), rnd.choice([0.25, 3, 60, 900])) for _ in range(90))] for _ in range(2)]
+    text_of = lambda b: f"POLYGON (({b[0]} {b[1]}, {b[2]} {b[1]}, {b[2]} {b[3]}, {b[0]} {b[3]}, {b[0]} {b[1]}))"
+    a, b = (spark.createDataFrame([(k, text_of(x)) for k, x in enumerate(bs)], f"{n} int, g string") for n, bs in zip("ab", boxes, strict=True))
+    want = sorted((i, j) for i, p in enumerate(boxes[0]) for j, q in enumerate(boxes[1]) if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    got = [tuple(r) for r in spatial.spatial_join(a, b, "g", "g", size=size).select("a", "b").collect()]
+    assert sorted(got) == want
+
+
+def test_spatial_join_of_empty_tables(spark):
+    a, none = spark.createDataFrame([(1, AREA)], "a int, g string"), spark.createDataFrame([], "b int, h string")
+    assert rows(spatial.spatial_join(a, none, "g", "h")) == []
+    assert rows(spatial.spatial_join(a, none, "g", "h", how="left").select("a", "b")) == [(1, None)]
+    assert rows(spatial.spatial_join(none, a, "h", "g", how="outer").select("a", "b")) == [(1, None)]
