@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, text
+from ..functions import encoding, geometry, text
 from ..operators.relational import shared_folder
-from ..sources import federation, io
-from .queries import query, t
+from ..sources import federation, io, shapes, sheets
+from .queries import BARS, bars, districts, query, t
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -194,3 +194,51 @@ def _(s, d):
     last = e.agg(F.max("event_id").alias("last"))
     j = e.select("event_id").crossJoin(F.broadcast(last)).select("event_id", F.when(F.col("event_id") == F.col("last"), '{"late": 1}').otherwise("{}").alias("p"))  # one row
     return flatten(j, "p").select("event_id", F.col("p_late").alias("late"))
+
+
+# areas of the districts and the suppliers' lines, through files of shapes
+FACES = "SELECT n_name, 100.0::DOUBLE AS area, 40.0::DOUBLE AS around FROM nation"
+LENGTHS = f"SELECT s_suppkey, v - u AS length FROM ({BARS})"
+
+
+def _faces(df):
+    g = F.col("geometry")
+    return df.select(F.get_json_object("properties", "$.n_name").alias("n_name"), geometry.area(g).alias("area"), geometry.perimeter(g).alias("around"))
+
+
+def _lengths(df):
+    return df.select(F.get_json_object("properties", "$.s_suppkey").cast("long").alias("s_suppkey"), geometry.perimeter("geometry").alias("length"))
+
+
+def _shape_queries(fmt: str, reader) -> None:
+    @query(f"{fmt}_areas", FACES)
+    def _(s, d):
+        path = f"{place(s, fmt)}.{fmt}"
+        shapes.write_shapes(districts(s, d).withColumnRenamed("shape", "geometry"), path, fmt)
+        return _faces(reader(s, f"{path[: -len(fmt)]}*"))
+
+    @query(f"{fmt}_lines", LENGTHS)
+    def _(s, d):
+        path = f"{place(s, fmt)}.{fmt}"
+        shapes.write_shapes(bars(s, d).withColumnRenamed("bar", "geometry"), path, fmt)
+        return _lengths(reader(s, f"{path[: -len(fmt)]}*"))
+
+
+for _fmt, _reader in (("shp", shapes.read_shapefile), ("gpkg", shapes.read_gpkg), ("kml", shapes.read_kml), ("geojson", io.read_geojson)):
+    _shape_queries(_fmt, _reader)
+
+
+@query("geoparquet_areas", FACES)
+def _(s, d):
+    path = place(s, "geoparquet")
+    shapes.write_shapes(districts(s, d).withColumnRenamed("shape", "geometry"), path, "geoparquet")
+    g = encoding.from_wkb("geometry")
+    return io.read_parquet(s, path).select("n_name", geometry.area(g).alias("area"), geometry.perimeter(g).alias("around"))
+
+
+@query("excel_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(s, d):
+    path = f"{place(s, 'book')}.xlsx"
+    sheets.write_xlsx(t(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "customers")
+    v = F.col("values")
+    return sheets.read_xlsx(s, path, "customers").filter("row > 1").select(v[0].cast("long").alias("c_custkey"), v[1].alias("c_name"), v[2].cast("double").alias("c_acctbal"))
