@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..compat import safe_sum
-from ..functions import codes, geoid, geometry, grid, json, moe, text
+from ..functions import codes, geoid, geometry, grid, json, moe, projection, text
 from ..operators import crosstab, crosswalk, longitudinal, relational, spatial, survey, territory
 from ..sources import io
 from ..streaming import windows
@@ -759,6 +759,47 @@ def _(s, d):
     return spatial.spatial_join(some, places(s, d).withColumn("at", geometry.point("x", "y")), "shape", "at", "contains", "right").select("n_name", "c_custkey")
 
 
+def degrees(s, d):
+    """Places of the customers in the middle of North America."""
+    return places(s, d).select("c_custkey", (F.col("x") - 120).alias("lon"), (F.col("y") / 2 + 25).alias("lat"))
+
+
+LONLAT = f"SELECT c_custkey, x - 120 AS lon, y / 2 + 25 AS lat FROM ({PLACES})"
+AXIS = "6378137.0"
+
+
+@query("mercator_points", f"SELECT c_custkey, round(radians(lon) * {AXIS}, 2) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * {AXIS}, 2) AS y FROM ({LONLAT})")
+def _(s, d):
+    p = degrees(s, d).select("c_custkey", geometry.point("lon", "lat").alias("at"))
+    return rounded(projection.reproject(p, ["at"], "EPSG:4326", "EPSG:3857").select("c_custkey", geometry.xy("at").alias("p")).select("c_custkey", "p.x", "p.y"), 2)
+
+
+# the conic projection of equal areas, by its definition
+E2 = "(2 / 298.257222101::DOUBLE - 1 / 298.257222101::DOUBLE / 298.257222101)"
+Q = f"((1 - {E2}) * (sin(radians({{0}})) / (1 - {E2} * power(sin(radians({{0}})), 2)) - ln((1 - sqrt({E2}) * sin(radians({{0}}))) / (1 + sqrt({E2}) * sin(radians({{0}})))) / (2 * sqrt({E2}))))"
+M = f"(cos(radians({{0}})) / sqrt(1 - {E2} * power(sin(radians({{0}})), 2)))"
+CONE = f"SELECT *, power({M.format(29.5)}, 2) + n * {Q.format(29.5)} AS c FROM (SELECT (power({M.format(29.5)}, 2) - power({M.format(45.5)}, 2)) / ({Q.format(45.5)} - {Q.format(29.5)}) AS n)"
+
+
+@query("albers_points", f"SELECT c_custkey, round(rho * sin(n * radians(lon + 96)), 2) AS x, round({AXIS} * sqrt(c - n * {Q.format(23)}) / n - rho * cos(n * radians(lon + 96)), 2) AS y FROM (SELECT *, {AXIS} * sqrt(c - n * {Q.format('lat')}) / n AS rho FROM ({LONLAT}), ({CONE}))")
+def _(s, d):
+    return rounded(degrees(s, d).select("c_custkey", projection.project(F.col("lon"), F.col("lat"), "EPSG:5070").alias("p")).select("c_custkey", "p.x", "p.y"), 2)
+
+
+@query("projected_and_back", f"SELECT c_custkey, code, round(lon, 6) AS x, round(lat, 6) AS y FROM ({LONLAT}), (VALUES ('EPSG:32614'), ('EPSG:26915'), ('EPSG:5070'), ('EPSG:3857')) v(code)")
+def _(s, d):
+    p = degrees(s, d).select("c_custkey", geometry.point("lon", "lat").alias("at"))
+    there = lambda c: projection.reproject(projection.reproject(p, ["at"], "EPSG:4326", c), ["at"], c, "EPSG:4326")
+    back = relational.union_all(*(there(c).withColumn("code", F.lit(c)) for c in ("EPSG:32614", "EPSG:26915", "EPSG:5070", "EPSG:3857")))
+    return rounded(back.select("c_custkey", "code", geometry.xy("at").alias("p")).select("c_custkey", "code", "p.x", "p.y"))
+
+
+@query("geometry_kinds", "SELECT 'POLYGON' AS kind, CAST(NULL AS INTEGER) AS srid, count(*) AS rows FROM nation UNION ALL SELECT 'LINESTRING', 4326, count(*) FROM supplier")
+def _(s, d):
+    both = districts(s, d).select(F.col("shape").alias("g")).unionByName(bars(s, d).select(F.concat(F.lit("SRID=4326;"), "bar").alias("g")))
+    return projection.kinds(both, "g")
+
+
 @query("apportion", f"SELECT b.n_name AS target, round(sum(a.n_regionkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6 ELSE 0.4 END::DOUBLE), 6) AS v, round(sum(a.n_nationkey * CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END) / sum(CASE WHEN a.n_nationkey = b.n_nationkey THEN 60.0 ELSE 40.0 END), 6) AS k FROM {SHIFT} GROUP BY 1")
 def _(s, d):
     source = districts(s, d).join(t(s, d, "nation").select("n_name", F.col("n_regionkey").alias("v"), F.col("n_nationkey").alias("k")), "n_name")

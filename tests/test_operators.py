@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import compat
-from lodestone.functions import codes, geoid, geometry, grid, json, moe, text
+from lodestone.functions import codes, geoid, geometry, grid, json, moe, projection, text
 from lodestone.operators import crosstab, crosswalk, longitudinal, relational, spatial, survey
 from lodestone.sources import federation, io
 from lodestone.streaming import windows
@@ -450,3 +450,51 @@ def test_spatial_join_of_empty_tables(spark):
     assert rows(spatial.spatial_join(a, none, "g", "h")) == []
     assert rows(spatial.spatial_join(a, none, "g", "h", how="left").select("a", "b")) == [(1, None)]
     assert rows(spatial.spatial_join(none, a, "h", "g", how="outer").select("a", "b")) == [(1, None)]
+
+
+def test_projection_fixed_values(spark):
+    import numpy as np
+
+    forward, back = projection.albers((6_378_206.4, 1 - math.sqrt(1 - 0.00676866)), 29.5, 45.5, 23.0, -96.0)
+    x, y = forward(np, -75.0, 35.0)  # the worked example of the textbook on map projections
+    assert abs(x - 1_885_472.7) < 0.1 and abs(y - 1_535_925.0) < 0.1
+    assert np.allclose(back(np, x, y), (-75.0, 35.0), atol=1e-10)
+    forward, back = projection.system("EPSG:32617")
+    x, y = forward(np, -(79 + 23 / 60 + 13.7 / 3600), 43 + 38 / 60 + 33.24 / 3600)
+    assert abs(x - 630_084) < 1.5 and abs(y - 4_833_438) < 1.5
+    assert np.allclose(forward(np, -81.0, 0.0), (500_000.0, 0.0))
+    assert np.allclose(projection.system("EPSG:32733")[0](np, 15.0, -0.0), (500_000.0, 10_000_000.0))
+    # 30 degrees along the meridian, by quadrature of the ellipse
+    a, e2 = 6_378_137.0, projection.WGS84[1] * (2 - projection.WGS84[1])
+    t = (np.arange(100_000) + 0.5) / 100_000 * math.radians(30)
+    arc = np.sum(a * (1 - e2) / (1 - e2 * np.sin(t) ** 2) ** 1.5) * math.radians(30) / 100_000
+    assert abs(forward(np, -81.0, 30.0)[1] - 0.9996 * arc) < 1e-4
+    for code in ("EPSG:32601", "EPSG:32760", "EPSG:26910", "EPSG:5070", "EPSG:3338", "ESRI:102003", "EPSG:3857"):
+        forward, back = projection.system(code)
+        x, y = np.array([-178.0, -176.5, -175.0]), np.array([-40.0, 12.0, 61.0])
+        if code == "EPSG:26910":
+            x = x + 54
+        assert np.allclose(back(np, *forward(np, x, y)), (x, y), atol=1e-9), code
+    with pytest.raises(ValueError):
+        projection.system("EPSG:27700")
+
+
+def test_reproject(spark):
+    df = spark.createDataFrame([("POLYGON ((0 0, 1 0, 1 1, 0 0))",), ("SRID=3857;POINT (5 5)",), ("SRID=4326;POINT Z (180 0 7)",), ("POINT (0 90)",), ("POLYGON EMPTY",), (None,)], "g string")
+    got = [r[0] for r in projection.reproject(df, ["g"], "EPSG:4326", "EPSG:3857").collect()]
+    assert got[0].startswith("POLYGON ((0.0 0.0, 111319.49") and got[1] == "SRID=3857;POINT (5 5)"
+    assert got[2].startswith("SRID=3857;POINT (20037508.34") and got[2].endswith(" 0.0)")
+    assert got[4:] == ["POLYGON EMPTY", None]
+    assert projection.reproject(df, ["g"], "EPSG:4326").collect() == df.collect()
+    projection.set_default_system(spark, "epsg:3857")
+    try:
+        assert projection.default_system(spark) == "EPSG:3857"
+        assert projection.reproject(df, ["g"], "EPSG:4326").first()[0] == got[0]
+    finally:
+        spark.conf.unset(projection.SETTING)
+    with pytest.raises(ValueError):
+        projection.reproject(df, ["g"], "EPSG:1")
+    r = one(spark, projection.project(F.lit(-79.3871389), F.lit(43.6425667), "EPSG:32617").alias("p"))["p"]
+    assert abs(r.x - 630_084) < 1.5 and abs(r.y - 4_833_438) < 1.5
+    where = spark.createDataFrame([(-79.4, 43.6), (15.0, -33.0), (180.0, 1.0), (-180.0, 1.0)], "x double, y double")
+    assert [r[0] for r in where.select(projection.utm_code(F.col("x"), F.col("y"))).collect()] == ["EPSG:32617", "EPSG:32733", "EPSG:32660", "EPSG:32601"]
