@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..compat import no_nan, ratio, require, safe_sum
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, median
 
 #: Lower bounds of rapid growth, moderate growth, stable and moderate decline (fixed values).
 PRESETS = {
@@ -94,11 +94,13 @@ def index_to(df: DataFrame, variable: str, base: int, level: float = 100.0) -> D
 
 
 def change_summary(df: DataFrame, variable: str, start: int, end: int) -> DataFrame:
-    """One row: moments of the changes, and how many rose, fell and stayed."""
+    """One row: moments of the changes, and how many rose, fell and stayed. Medians are exact, and found when this is called."""
     c = change(df, variable, start, end, ("absolute", "percent", "cagr"))
     p = f"{variable}_"
     s = f"_{start}_{end}"
-    parts = [f(F.col(f"`{p}{m}{s}`")).alias(f"{m}_{n}") for m in ("change", "pct_change", "cagr") for n, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, 0.5)), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    measures = ("change", "pct_change", "cagr")
+    middle = {f"{p}{m}{s}": median(c, f"{p}{m}{s}") for m in measures}
+    parts = [f(f"{p}{m}{s}").alias(f"{m}_{n}") for m in measures for n, f in (("mean", lambda x: F.avg(F.col(f"`{x}`"))), ("median", middle.get), ("std", lambda x: F.stddev_samp(F.col(f"`{x}`"))), ("min", lambda x: F.min(F.col(f"`{x}`"))), ("max", lambda x: F.max(F.col(f"`{x}`"))))]
     d = F.col(f"`{p}change{s}`")
     return c.agg(*parts, F.count_if(d > 0).alias("increased"), F.count_if(d < 0).alias("decreased"), F.count_if(d == 0).alias("unchanged"), F.count(d).alias("n"))
 

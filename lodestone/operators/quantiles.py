@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct values of all brackets that the driver takes, with their counts.
@@ -55,3 +55,9 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], keep: i
         a, b = known[int(h)], known[min(int(h) + 1, n - 1)]
         out.append(a + (b - a) * (h - int(h)))
     return out
+
+
+def median(df: DataFrame, column: str) -> Column:
+    """The exact median as a value, null without any."""
+    found = exact_quantiles(df, f"`{column}`", [0.5])
+    return F.lit(found[0] if found else None).cast("double")

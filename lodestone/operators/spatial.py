@@ -292,9 +292,11 @@ def adjacent_components(df: DataFrame, key: str, geometry: str, size: float = 1.
     return df.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 
-def feature_collection(df: DataFrame, geometry: str, properties: Sequence[str]) -> DataFrame:
-    """One row: a GeoJSON collection of a bounded table's features."""
-    return df.select(geojson(df, geometry, properties).alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("f")), ","), F.lit("]}")).alias("geojson"))
+def feature_collection(df: DataFrame, geometry: str, properties: Sequence[str], limit: int = 1_000_000) -> DataFrame:
+    """One row: a GeoJSON collection of a bounded table's features; more than ``limit`` of them raise. ``shapes`` has lines of features."""
+    f = df.select(geojson(df, geometry, properties).alias("f")).limit(limit + 1).agg(F.collect_list("f").alias("f"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array("f"), ","), F.lit("]}"))
+    return f.select(F.when(F.size("f") <= limit, text).otherwise(F.raise_error(F.lit(f"more than {limit} features for one text"))).alias("geojson"))
 
 
 def covering(polygons: DataFrame, geometry: str, x: float, y: float) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import encoding, geometry, text
+from ..functions import encoding, geometry, text, variables
 from ..operators.relational import shared_folder
 from ..sources import federation, io, shapes, sheets
 from .queries import BARS, bars, districts, query, t
@@ -166,6 +166,16 @@ def _(s, d):
     return t(s, d, "orders").select("o_orderkey", F.round(geometry.distance(at("o_custkey"), F.lit(0.0), at("o_orderkey"), at("o_totalprice")), 4).alias("distance"))
 
 
+@query("variable_codes", "SELECT * FROM (VALUES ('poverty', 'B17001_001E'), ('poverty', 'B17001_001M'), ('poverty', 'B17001_002E'), ('poverty', 'B17001_002M'), ('pl_h1_housing', 'H1_001N'), ('pl_h1_housing', 'H1_002N'), ('pl_h1_housing', 'H1_003N')) v(subject, code)")
+def _(s, d):
+    return s.createDataFrame([(g, c) for g in ("poverty", "pl_h1_housing") for c in variables.with_margins(variables.resolve(g))], "subject string, code string")
+
+
+@query("loader_order", "SELECT * FROM (VALUES ('native', 'native'), ('native', 'ogr2ogr'), ('native', 'sedona'), ('native', 'python'), ('converter', 'ogr2ogr'), ('converter', 'sedona'), ('converter', 'python'), ('sedona', 'sedona'), ('sedona', 'python')) v(there, loader)")
+def _(s, d):
+    return s.createDataFrame([(k, l) for k in ("native", "converter", "sedona") for l in federation.loaders(**{k: True})], "there string, loader string")
+
+
 @query("federation_statements", "SELECT * FROM (VALUES (1, 'CREATE FOREIGN TABLE IF NOT EXISTS c.s.t USING CONNECTION k OPTIONS (schema ''x'', table ''y'')'), (2, 'CREATE OR REPLACE VIEW c.s.v AS SELECT * FROM a.b.t'), (3, 'jdbc:postgresql://h:5432/db'), (4, 'census_tract_2020'), (5, 'CREATE SCHEMA IF NOT EXISTS c.s')) v(n, statement)")
 def _(s, d):
     made = [federation.foreign_table("c", "s", "t", "k", "x", "y"), federation.federated_view("c", "s", "v", "a", "b", "t"), federation.jdbc_url("h", "db"), federation.census_table(2020, "tract"), federation.foreign_tables("c", "s", "k", "x", ["t", "t"])[0]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import re
 from collections.abc import Sequence
 
 from ..compat import identifier
@@ -60,3 +62,27 @@ def census_table(year: int, level: str, prefix: str = "census") -> str:
 
 def census_targets(year: int, levels: Sequence[str], prefix: str = "census") -> list[str]:
     return list(dict.fromkeys(census_table(year, l.strip().lower(), prefix) for l in levels))
+
+
+#: Ways to load shapes, best first.
+LOADERS = ("native", "ogr2ogr", "sedona", "python")
+
+
+def loaders(native: bool = False, converter: bool = False, sedona: bool = False) -> list[str]:
+    """The best way to load shapes that there is, and those to fall back on; plain Python is always there."""
+    there = dict(zip(LOADERS, (native, converter, sedona, True), strict=True))
+    return list(LOADERS[next(k for k, n in enumerate(LOADERS) if there[n]) :])
+
+
+def runtime(version: str | None = None, native: bool | None = None, sedona: bool | None = None, since: tuple[int, int] = (17, 1)) -> list[str]:
+    """The same for computing with shapes, where converters don't count.
+
+    What isn't stated is told from the version of the runtime, which has functions of its own ``since`` one, and from
+    whether the library can be imported.
+    """
+    if native is None:
+        parts = re.match(r"\s*(\d+)\.(\d+)", version or "")
+        native = parts is not None and tuple(map(int, parts.groups())) >= since
+    if sedona is None:
+        sedona = importlib.util.find_spec("sedona") is not None
+    return [n for n in loaders(native, False, sedona) if n != "ogr2ogr"]

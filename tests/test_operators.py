@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import compat
-from lodestone.functions import codes, geoid, geometry, grid, json, moe, projection, text
+from lodestone.functions import codes, geoid, geometry, grid, json, moe, projection, text, variables
 from lodestone.operators import crosstab, crosswalk, longitudinal, relational, spatial, survey
 from lodestone.sources import federation, io
 from lodestone.streaming import windows
@@ -498,3 +498,32 @@ def test_reproject(spark):
     assert abs(r.x - 630_084) < 1.5 and abs(r.y - 4_833_438) < 1.5
     where = spark.createDataFrame([(-79.4, 43.6), (15.0, -33.0), (180.0, 1.0), (-180.0, 1.0)], "x double, y double")
     assert [r[0] for r in where.select(projection.utm_code(F.col("x"), F.col("y"))).collect()] == ["EPSG:32617", "EPSG:32733", "EPSG:32660", "EPSG:32601"]
+
+
+def test_variables_and_runtimes():
+    assert variables.resolve("poverty") == ["B17001_001E", "B17001_002E"]
+    assert variables.resolve("B01001_001E") == ["B01001_001E"] == variables.resolve(["B01001_001E"])
+    assert variables.resolve("x", {"x": ["a", "b"]}) == ["a", "b"]
+    assert variables.with_margins(["B17001_001E", "P1_001N"]) == ["B17001_001E", "B17001_001M", "P1_001N"]
+    variables.resolve("income").clear()
+    assert len(variables.resolve("income")) == 3
+    assert federation.loaders() == ["python"] and federation.loaders(converter=True) == ["ogr2ogr", "sedona", "python"]
+    assert federation.loaders(native=True)[0] == "native" and federation.loaders(sedona=True) == ["sedona", "python"]
+    assert federation.runtime("17.1.x-scala2.12", sedona=False) == ["native", "sedona", "python"]
+    assert federation.runtime("16.4", sedona=False) == ["python"] == federation.runtime(sedona=False)
+    assert federation.runtime("9.9", sedona=True) == ["sedona", "python"]
+
+
+def test_a_collection_is_bounded(spark):
+    df = spark.range(3).select("id", F.lit(AREA).alias("g"))
+    assert spatial.feature_collection(df, "g", ["id"], limit=3).first()[0].count('"Feature"') == 3
+    with pytest.raises(Exception, match="more than 2 features"):
+        spatial.feature_collection(df, "g", ["id"], limit=2).collect()
+
+
+def test_summaries_have_exact_medians(spark):
+    df = spark.createDataFrame([(float(k), float(k * k)) for k in range(1, 10)] + [(1.0, None)], "v_2000 double, v_2010 double")
+    r = longitudinal.change_summary(df, "v", 2000, 2010).first()
+    assert (r.change_median, r.change_max, r.n, r.unchanged) == (20.0, 72.0, 9, 1)
+    assert longitudinal.change_summary(df.limit(0), "v", 2000, 2010).first().change_median is None
+    assert crosswalk.allocation(spark.createDataFrame([("a", "b", w) for w in (0.1, 0.4, 0.5, 1.0)], "source_geoid string, target_geoid string, area_weight double")).first().median_weight == 0.45
