@@ -349,7 +349,7 @@ def write_wkt(rs: list[Ring]) -> str:
 
 
 def distance_to(ring_list: Column, x: Column, y: Column) -> Column:
-    """Distance of a point to rings: 0 inside, else to the nearest edge."""
+    """Distance of a point to rings: 0 inside closed ones, else to the nearest edge; what isn't closed is a line, or a place."""
 
     def edge(p: Column, q: Column) -> Column:
         dx, dy = q["x"] - p["x"], q["y"] - p["y"]
@@ -357,9 +357,19 @@ def distance_to(ring_list: Column, x: Column, y: Column) -> Column:
         return F.hypot(x - p["x"] - t * dx, y - p["y"] - t * dy)
 
     def nearest(r: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(float("inf")), lambda s, i: F.least(s, F.coalesce(edge(F.get(r, i - 1), F.get(r, i)), F.lit(float("inf")))))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(float("inf")), lambda s, i: F.least(s, F.coalesce(edge(F.get(r, i - 1), F.coalesce(F.get(r, i), F.get(r, i - 1))), F.lit(float("inf")))))
 
-    return F.when(covers(ring_list, x, y), 0.0).otherwise(F.aggregate(ring_list, F.lit(float("inf")), lambda s, r: F.least(s, nearest(r))))
+    closed = F.filter(ring_list, lambda r: (F.size(r) > 3) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)))
+    return F.when(covers(closed, x, y), 0.0).otherwise(F.aggregate(ring_list, F.lit(float("inf")), lambda s, r: F.least(s, nearest(r))))
+
+
+def distance_from(wkt: Column | str, x: Column, y: Column) -> Column:
+    """Distance of a point to a geometry of any kind: lines have no inside, closed or not; null for what is empty."""
+    kind, r = F.upper(F.regexp_extract(_c(wkt), r"^\s*([A-Za-z]+)", 1)), rings(wkt)
+    places = F.transform(F.flatten(r), lambda p: F.array(p))
+    segments = F.flatten(F.transform(r, lambda l: F.transform(F.sequence(F.lit(1), F.greatest(F.size(l) - 1, F.lit(1))), lambda i: F.array(F.get(l, i - 1), F.coalesce(F.get(l, i), F.get(l, i - 1))))))
+    parts = F.when(kind.endswith("POINT"), places).when(kind.endswith("LINESTRING"), segments).otherwise(r)
+    return F.when(F.size(r) > 0, distance_to(parts, x, y))
 
 
 def payload(wkt: Column | str, crs: str = "EPSG:4326") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..compat import ratio, require, safe_sum
+from ..functions import encoding
 from ..functions import geometry as g
 from ..functions.relate import relation
 
@@ -277,9 +278,8 @@ def profile(districts: DataFrame, units: DataFrame, district_key: str, district_
 
 
 def geojson(df: DataFrame, geometry: str, properties: Sequence[str]) -> Column:
-    """A feature as JSON text: type, properties, and the coordinates of polygons."""
-    coordinates = F.transform(g.rings(geometry), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+    """A feature as JSON text: type, properties, and the coordinates of a geometry of any kind."""
+    return F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)) if properties else F.lit("{}"), F.lit(',"geometry":'), encoding.geojson(df[geometry]), F.lit("}"))
 
 
 def adjacent_components(df: DataFrame, key: str, geometry: str, size: float = 1.0) -> DataFrame:

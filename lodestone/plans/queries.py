@@ -759,6 +759,13 @@ def _(s, d):
     return spatial.spatial_join(some, places(s, d).withColumn("at", geometry.point("x", "y")), "shape", "at", "contains", "right").select("n_name", "c_custkey")
 
 
+@query("distances", f"SELECT c_custkey, round(sqrt(power(x - 25, 2) + power(y - 25, 2)), 6) AS to_place, round(sqrt(power(greatest(20 - x, x - 30, 0), 2) + power(greatest(20 - y, y - 30, 0), 2)), 6) AS to_square, round(abs(y - x) / sqrt(2), 6) AS to_line FROM ({PLACES})")
+def _(s, d):
+    x, y = F.col("x"), F.col("y")
+    square, line = F.lit("POLYGON ((20 20, 30 20, 30 30, 20 30, 20 20))"), F.lit("LINESTRING (-10 -10, 90 90)")
+    return rounded(places(s, d).select("c_custkey", geometry.distance(x, y, F.lit(25.0), F.lit(25.0)).alias("to_place"), geometry.distance_from(square, x, y).alias("to_square"), geometry.distance_from(line, x, y).alias("to_line")))
+
+
 def degrees(s, d):
     """Places of the customers in the middle of North America."""
     return places(s, d).select("c_custkey", (F.col("x") - 120).alias("lon"), (F.col("y") / 2 + 25).alias("lat"))

@@ -17,6 +17,7 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+FACES = "SELECT n_name, 100.0::DOUBLE AS area, 40.0::DOUBLE AS around FROM nation"
 PARTS = "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part"
 
 
@@ -166,6 +167,47 @@ def _(s, d):
     return t(s, d, "orders").select("o_orderkey", F.round(geometry.distance(at("o_custkey"), F.lit(0.0), at("o_orderkey"), at("o_totalprice")), 4).alias("distance"))
 
 
+def _database(s) -> dict[str, str]:
+    """The database that comes with Spark, in memory: for sessions whose executors are the driver's own."""
+    s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return {"url": f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+@query("jdbc_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(s, d):
+    at = _database(s)
+    io.write_jdbc(t(s, d, "nation").select("n_name"), table="customer", **at)
+    io.write_jdbc(t(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), table="customer", mode="overwrite", **at)  # in place of what was there
+    return io.read_jdbc(s, query="SELECT * FROM customer", **at)
+
+
+@query("jdbc_in_parts", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def _(s, d):
+    at, o = _database(s), t(s, d, "orders").select("o_orderkey", "o_totalprice")
+    io.write_jdbc(o, table="orders", **at)
+    most = o.agg(F.max("o_orderkey")).first()[0] or 1
+    return io.read_jdbc(s, query='SELECT "o_orderkey", "o_totalprice" FROM orders WHERE "o_totalprice" > 100000', partition=("o_orderkey", 1, most, 4), **at)
+
+
+@query("jdbc_shapes", FACES)
+def _(s, d):
+    at = _database(s)
+    io.write_jdbc(districts(s, d), table="districts", **at)
+    back = io.read_jdbc(s, query="SELECT * FROM districts", **at)
+    return back.select("n_name", geometry.area("shape").alias("area"), geometry.perimeter("shape").alias("around"))
+
+
+@query("copied_files", "SELECT count(*) AS rows, true AS there, false AS elsewhere, 1 AS digests FROM orders")
+def _(s, d):
+    a, b = place(s, "source"), place(s, "goal")
+    io.write(t(s, d, "orders").coalesce(1), a)
+    io.copy_tree(s, a, b)
+    digests = text.file_digests(s, f"{a}/*.parquet").unionByName(text.file_digests(s, f"{b}/*.parquet"))
+    rows = io.read_parquet(s, b).agg(F.count("*").alias("rows"))
+    found = digests.agg(F.count_distinct("digest").cast("int").alias("digests"))
+    return rows.crossJoin(found).select("rows", F.lit(io.exists(s, b)).alias("there"), F.lit(io.exists(s, f"{b}-none")).alias("elsewhere"), "digests")
+
+
 @query("variable_codes", "SELECT * FROM (VALUES ('poverty', 'B17001_001E'), ('poverty', 'B17001_001M'), ('poverty', 'B17001_002E'), ('poverty', 'B17001_002M'), ('pl_h1_housing', 'H1_001N'), ('pl_h1_housing', 'H1_002N'), ('pl_h1_housing', 'H1_003N')) v(subject, code)")
 def _(s, d):
     return s.createDataFrame([(g, c) for g in ("poverty", "pl_h1_housing") for c in variables.with_margins(variables.resolve(g))], "subject string, code string")
@@ -207,7 +249,6 @@ def _(s, d):
 
 
 # areas of the districts and the suppliers' lines, through files of shapes
-FACES = "SELECT n_name, 100.0::DOUBLE AS area, 40.0::DOUBLE AS around FROM nation"
 LENGTHS = f"SELECT s_suppkey, v - u AS length FROM ({BARS})"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json as stdjson
 import math
 import random
 import uuid
@@ -517,6 +518,8 @@ def test_variables_and_runtimes():
 def test_a_collection_is_bounded(spark):
     df = spark.range(3).select("id", F.lit(AREA).alias("g"))
     assert spatial.feature_collection(df, "g", ["id"], limit=3).first()[0].count('"Feature"') == 3
+    many = spark.createDataFrame([(1, "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))")], "id int, g string")
+    assert stdjson.loads(many.select(spatial.geojson(many, "g", ["id"])).first()[0]) == {"type": "Feature", "properties": {"id": 1}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}}
     with pytest.raises(Exception, match="more than 2 features"):
         spatial.feature_collection(df, "g", ["id"], limit=2).collect()
 
@@ -527,3 +530,15 @@ def test_summaries_have_exact_medians(spark):
     assert (r.change_median, r.change_max, r.n, r.unchanged) == (20.0, 72.0, 9, 1)
     assert longitudinal.change_summary(df.limit(0), "v", 2000, 2010).first().change_median is None
     assert crosswalk.allocation(spark.createDataFrame([("a", "b", w) for w in (0.1, 0.4, 0.5, 1.0)], "source_geoid string, target_geoid string, area_weight double")).first().median_weight == 0.45
+
+
+def test_distance_to_any_kind(spark):
+    x, y = F.lit(2.0), F.lit(1.0)
+    wanted = [
+        ("POINT (2 4)", 3.0), ("MULTIPOINT (2 3, 9 9)", 2.0), ("MULTIPOINT ((9 9), (2 0))", 1.0),
+        ("LINESTRING (0 0, 4 0)", 1.0), ("LINESTRING (5 -5, 5 5)", 3.0), ("LINESTRING (0 0, 4 0, 4 4, 0 4, 0 0)", 1.0),
+        ("MULTILINESTRING ((9 0, 9 9), (2 3, 9 3))", 2.0), ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", 0.0),
+        ("POLYGON ((-9 -9, 9 -9, 9 9, -9 9, -9 -9), (0 0, 4 0, 4 4, 0 4, 0 0))", 1.0), ("POLYGON EMPTY", None), (None, None),
+    ]
+    df = spark.createDataFrame([(w,) for w, _ in wanted], "g string")
+    assert [r[0] for r in df.select(geometry.distance_from("g", x, y)).collect()] == [d for _, d in wanted]
