@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -168,9 +170,10 @@ def _(s, d):
 
 
 def _database(s) -> dict[str, str]:
-    """The database that comes with Spark, in memory: for sessions whose executors are the driver's own."""
+    """The database that comes with Spark: in memory where executors are the driver's own, or else in a folder of the driver."""
     s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    return {"url": f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    at = f"{os.path.realpath(tempfile.mkdtemp(prefix='lodestone-'))}/" if io.apart(s) else "memory:"
+    return {"url": f"jdbc:derby:{at}m{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
 @query("jdbc_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
