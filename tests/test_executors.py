@@ -29,7 +29,7 @@ s.stop()
 """
 
 
-@pytest.mark.parametrize("name", ["jdbc_round_trip", "jdbc_in_parts"])
+@pytest.mark.parametrize("name", ["jdbc_round_trip", "jdbc_in_parts", "jdbc_shapes"])
 def test_apart(tmp_path, name):
     home = tmp_path / "home"
     (home / "work").mkdir(parents=True)  # the executors' logs
