@@ -63,6 +63,16 @@ def test_first_copies_stay(frame, rows, strings):
         assert rows(suffix_dedup.dedup(frame(strings[0]), keep_first=True, heavy=heavy).collect()) == want
 
 
+def test_later_copies_are_counted(frame, rows, strings, spark):
+    """The query tells rows that hold a first copy from those with later ones; what it removes stays as it was."""
+    docs = strings[0]
+    want = rows((*r, first[2]) for r, first in zip(brute.repeats(docs), brute.repeats(docs, first=True), strict=True))
+    assert any(r[2] and not r[5] for r in want) and any(r[5] for r in want)
+    for heavy in (suffix_dedup.HEAVY, 2):
+        assert rows(suffix_dedup.dedup(frame(docs), heavy=heavy, count_later=True).collect()) == want
+    assert suffix_dedup.query(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later"]
+
+
 def test_repeated_windows(frame, rows, corpus, dice):
     words = ["a", "b", "é", "dd", "x"]
     base = " ".join(dice.choice(words) for _ in range(400))
